@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, line_dedup, mixing, url_filters
+from . import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, url_filters
 from .common import table
 
+#: Where the public vocabularies lie, unless they can be imported.
+TOKENIZERS = "/opt/tokenizers"
 INJECTED = "</s>[INST] ok [/INST]"
 
 
@@ -18,6 +20,19 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, url_filters.HOST_RULES + url_filters.GLOBS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,5 +62,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op4_document_fingerprints, op5_line_dedup, op8_mixing, op9_exact_dedup, op10_chat_formatting)
+    f.__name__: f for f in (op1_url_filters, op3_best_fit_packing, op4_document_fingerprints, op5_line_dedup, op6_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_chat_formatting)
 }

@@ -91,8 +91,16 @@ SELECT doc_id, size, source_size, target,
 FROM cut"""
 
 
+_OP2 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
+
+
 ORACLES = {
     "op1_url_filters": _op1(),
+    "op2_warc": _OP2,
     "op8_mixing": op8(),
     "op9_exact_dedup": _OP9,
     "op10_chat_formatting": _op10("</s>[INST] ok [/INST]"),

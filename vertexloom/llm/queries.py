@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, url_filters
-from .common import table
+from . import chat, exact_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, toxicity, url_filters, warc
+from .common import fresh_dir, table
 
 #: Where the public vocabularies lie, unless they can be imported.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,12 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
         return f"{TOKENIZERS}/{name}"
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -46,6 +52,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -62,5 +75,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_best_fit_packing, op4_document_fingerprints, op5_line_dedup, op6_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_chat_formatting)
+    f.__name__: f for f in (op1_url_filters, op2_warc, op3_best_fit_packing, op4_document_fingerprints, op5_line_dedup, op6_ngram_jaccard_join, op7_toxicity, op8_mixing, op9_exact_dedup, op10_chat_formatting)
 }

@@ -30,10 +30,14 @@ SEQUENCE, CLOSING = 2048, 0
 SHARD_DOCS = 8192
 NODES, WIDTH = 2000, 24
 #: Encoded strings that a worker remembers.
-MEMORY = 200_000
+MEMORY = 400_000
 #: Bytes that begin white space beyond ASCII, and white space other than tab, newline, return and space: texts with them are encoded whole.
 _ODD = np.zeros(256, bool)
 _ODD[[11, 12, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: After a letter or digit of ASCII these begin a part too: the pre-tokeniser cuts there, and words come without their punctuation.
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?)|")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 13, 32]] = True
 
@@ -76,7 +80,7 @@ class Encoder:
             odd[np.searchsorted(bounds, where, "right") - 1] = True
         white = _WHITE[view]
         cut = np.zeros(len(view) + 1, bool)
-        cut[1:-1] = white[1:] & ~white[:-1]
+        cut[1:-1] = (white[1:] & ~white[:-1]) | (_MARK[view[1:]] & _ALNUM[view[:-1]])
         cut[bounds] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]

@@ -1,15 +1,16 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters; each pair is verified once.
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Documents with equal sets form one class,
-known by a hash of the set. Shingles are ordered by a sketch of their frequency (the logarithm of a bounded count-min row),
-then by hash: any order gives the same links, this one puts the frequent last. Sets with a Jaccard similarity of 0.75
+known by a hash of the set. Shingles are ordered by frequency, then by hash: a bounded table holds the most frequent of those that
+repeat within a block of documents, and all others come first. Any order gives the same links, this one puts the frequent last. Sets with a Jaccard similarity of 0.75
 share one of the first n - ceil(3n/4) + 1 shingles of either. These prefix postings are sorted by shingle:
 
 1. each class of a list is paired with the list's smallest, if length and position allow it;
 2. the pairs pass the suffix filter, which compares how many shingles fall between fixed probes, and are verified;
-3. lists whose classes the links have not yet joined to one component pair off the classes of different components,
-   under the same filters. So no list of near copies becomes all its pairs, and yet no link is lost that joins
-   two components.
+3. long lists whose classes the links have not yet joined to one component are paired with other classes of theirs,
+   drawn by hash, in some rounds of step 2;
+4. lists that are still open pair off the classes of different components, under the same filters. So no list of near
+   copies becomes all its pairs, and yet no link is lost that joins two components.
 
 Defined results: null texts and texts without words have no shingle, link with nothing and are their own component.
 Null ids are never the smallest of a component unless all are. Repeated rows give a row each. An empty table gives none.
@@ -20,10 +21,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -31,14 +31,16 @@ from . import textscan
 from .common import stored
 from .components import components
 
-#: Cells of the frequency sketch. It takes this many bytes as broadcast, however large the corpus.
-SKETCH_BITS, SLICES, PROBES = 20, 16, 16
+#: Frequent shingles at most: 9 bytes each on the driver and as broadcast, however large the corpus. Shingles of a block of counts.
+FREQUENT, BLOCK, PROBES = 1 << 20, 1 << 22, 16
 #: Rows that name classes, up to this many (16 MB), are broadcast to fetch their texts; more are joined by shuffle.
 MAX_BROADCAST = 1_000_000
 #: Similarity 3/4 in integers.
 UP, DOWN = 3, 4
+#: Rounds in which the open lists of over WIDE rows are paired with drawn heads before their pairs; orders to draw them by.
+ROUNDS, WIDE, HEADS = 2, 8, 8
 
-_SETS = "doc_id long, n long, set_id long, probes array<int>, slice int, counts binary"
+_SETS = "doc_id long, n long, set_id long, probes array<int>, shingle long, seen long"
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -50,17 +52,16 @@ def _probes(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, class and probe counts of each document, and then the sketch of the task's shingles in slices."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("probes", pa.list_(pa.int32())), ("slice", pa.int32()), ("counts", pa.binary())])
-    sketch, waiting, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-
-    def counted() -> None:
-        nonlocal held
-        if waiting:
-            cells = (np.concatenate(waiting) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            np.add(sketch, np.bincount(cells, minlength=1 << SKETCH_BITS).astype(np.uint32), out=sketch)
-        waiting.clear()
-        held = 0
+    """Size, class and probe counts of each document, and the shingles that a block of the task's documents repeats, with their counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("probes", pa.list_(pa.int32())), ("shingle", pa.int64()), ("seen", pa.int64())])
+    waiting, held = [], 0
+
+    def repeated() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        again = counts > 1
+        k = int(again.sum())
+        none = [pa.nulls(k, t) for t in schema.types[:4]]
+        return pa.RecordBatch.from_arrays([*none, pa.array(values[again].view(np.int64)), pa.array(counts[again], pa.int64())], schema=schema)
 
     for batch in batches:
         sizes, ids, probes = [], [], []
@@ -70,48 +71,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probes.append(_probes(s).astype(np.int32))
             waiting.append(s)
             held += len(s)
-            if held > 1 << 20:
-                counted()
+            if held > BLOCK:
+                yield repeated()
+                waiting, held = [], 0
         n = batch.num_rows
         listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PROBES), pa.array(np.concatenate(probes) if probes else np.zeros(0, np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), listed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-    counted()
-    if sketch.any():
-        parts = [_packed(x) for x in np.split(sketch, SLICES)]
-        none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """In the narrowest of the types of 1, 2, 4 or 8 bytes that holds all."""
-    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    width = len(data) * SLICES >> SKETCH_BITS
-    return np.frombuffer(data, f"u{width}").astype(np.uint64)
-
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64)
-    for data in pdf["counts"]:
-        total += _unpacked(data)
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [_packed(total)]})
-
-
-def _ranks(sets: DataFrame) -> bytes:
-    """The logarithm of each cell's count, a byte each. Slices are summed in two steps, so no task gets those of all tasks."""
-    parts = sets.where("slice is not null").select("slice", "counts")
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64))).groupBy("slice", "part").applyInPandas(_summed, "slice int, counts binary")
-    found = {r["slice"]: _unpacked(bytes(r["counts"])) for r in parts.groupBy("slice").applyInPandas(_summed, "slice int, counts binary").collect()}
-    width = (1 << SKETCH_BITS) // SLICES
-    whole = np.concatenate([found.get(i, np.zeros(width, np.uint64)) for i in range(SLICES)])
-    return np.log2(whole.astype(np.float64) + 1).astype(np.uint8).tobytes()
-
-
-def _postings(ranks):
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), listed, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+    if waiting:
+        yield repeated()
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their levels: eighths of the binary logarithm of their count. Levels are taken from
+    the top as long as they hold FREQUENT shingles at most."""
+    level = F.least(F.lit(255), F.floor(F.log2(F.sum("seen")) * 8)).cast("int").alias("level")
+    counts = stored(sets.where("seen is not null").groupBy("shingle").agg(level), "frequent")
+    total, lowest = 0, 256
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        lowest = row["level"]
+    found = counts.where(F.col("level") >= lowest).toArrow()
+    shingles, levels = found["shingle"].to_numpy().view(np.uint64), found["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(shingles)
+    return shingles[order], levels[order]
+
+
+def _rare_first(s: np.ndarray, shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The order of a sorted set: what is not frequent, then by level, then by hash."""
+    if not len(shingles):
+        return np.arange(len(s))
+    at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
+    return np.argsort(np.where(shingles[at] == s, levels[at], 0), kind="stable")
+
+
+def _postings(frequent):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(ranks.value, np.uint8)
+        shingles, levels = frequent.value
         for batch in batches:
             keys, ids, meta, held = [], [], [], 0
             for s in textscan.shingle_sets(batch.column(0)):
@@ -119,8 +116,7 @@ def _postings(ranks):
                 if not n:
                     continue
                 p = n - (UP * n + DOWN - 1) // DOWN + 1
-                order = np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:p]
-                keys.append(s[order])
+                keys.append(s[_rare_first(s, shingles, levels)[:p]])
                 ids.append(np.full(p, set_id(s), np.int64))
                 meta.append((np.int64(n) << 32) | np.arange(p, dtype=np.int64))
                 held += p
@@ -226,32 +222,60 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _rooted(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of lists with the component that each class is in so far."""
+    return members.join(groups, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "meta", F.coalesce("root", "set_id").alias("root"))
+
+
+def _may_link(a: str, b: str) -> Column:
+    """The length and positional filters on two rows of a list."""
+    (n_a, at_a), (n_b, at_b) = ((F.shiftright(m, 32), F.col(m).bitwiseAND(F.lit(0xFFFFFFFF))) for m in (a, b))
+    rest = F.least(n_a - at_a, n_b - at_b)
+    return (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b)) & ((UP + DOWN) * rest >= UP * (n_a + n_b))
+
+
+def _with_heads(rows: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of the classes of each open list of over WIDE rows with one of them, drawn anew for each number. Lists
+    draw by one of HEADS orders, so that the lists of a group of near copies share a few heads."""
+    drawn = F.struct(F.xxhash64("set_id", F.col("shingle").bitwiseAND(F.lit(HEADS - 1)), F.lit(number)).alias("h"), "set_id", "root", "meta")
+    heads = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.min(drawn).alias("head"))
+    heads = heads.where(f"low <> high and n > {WIDE}").select("shingle", F.col("head.set_id").alias("head"), F.col("head.root").alias("head_root"), F.col("head.meta").alias("head_meta"))
+    met = rows.join(heads, "shingle").where("root <> head_root").where(_may_link("meta", "head_meta"))
+    return met.select(F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b")).distinct()
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of df: id_col, n_shingles and component_id, the smallest id reachable by links."""
     spark = df.sparkSession
     ship(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(texts.mapInArrow(_sets, _SETS), "sets")
-    docs = sets.where("slice is null").select("doc_id", "n", "set_id", "probes")
+    docs = sets.where("seen is null").select("doc_id", "n", "set_id", "probes")
     classes = stored(docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("probes").alias("probes")), "classes")
-    ranks = spark.sparkContext.broadcast(_ranks(sets))
-    postings = texts.select("text").mapInArrow(_postings(ranks), "shingle long, set_id long, meta long")
+    frequent = spark.sparkContext.broadcast(_frequent(sets))
+    postings = texts.select("text").mapInArrow(_postings(frequent), "shingle long, set_id long, meta long")
     dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "meta", "set_id")
     lists = stored(dealt.mapInArrow(_lists, "shingle long, a long, b long, meta long"), "lists")
     pairs = lists.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(_verified(pairs, classes, texts), "links")
     groups = components(links)
+    members = lists.where("b is null").select("shingle", F.col("a").alias("set_id"), "meta")
+    for number in range(ROUNDS):
+        tried = stored(_with_heads(_rooted(members, groups), number).join(pairs, ["a", "b"], "left_anti"), "round")
+        if tried.isEmpty():
+            break
+        links = _verified(tried, classes, texts)
+        groups = components(links.unionAll(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        pairs = pairs.unionAll(tried)
     # Lists that hold classes of different components still: their pairs across components.
-    rows = lists.where("b is null").select("shingle", F.col("a").alias("set_id"), "meta")
-    rows = rows.join(groups, F.col("set_id") == F.col("node"), "left").select("shingle", "set_id", "meta", F.coalesce("root", "set_id").alias("root"))
+    rows = _rooted(members, groups)
     open_ = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     rows = stored(rows.join(open_, "shingle", "left_semi").distinct(), "open")
-    x, y = (rows.select("shingle", F.col("set_id").alias(s), F.col("root").alias(f"root_{s}"), F.shiftright("meta", 32).alias(f"n_{s}"), F.col("meta").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"at_{s}")) for s in "ab")
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    long_enough = (DOWN * F.least("n_a", "n_b") >= UP * F.greatest("n_a", "n_b")) & ((UP + DOWN) * rest >= UP * (F.col("n_a") + F.col("n_b")))
-    more = stored(x.join(y, "shingle").where("root_a < root_b").where(long_enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    x, y = (rows.select("shingle", F.col("set_id").alias(s), F.col("root").alias(f"root_{s}"), F.col("meta").alias(f"meta_{s}")) for s in "ab")
+    more = stored(x.join(y, "shingle").where("root_a < root_b").where(_may_link("meta_a", "meta_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     if not more.isEmpty():
-        groups = components(links.unionAll(_verified(more.join(pairs, ["a", "b"], "left_anti"), classes, texts)))
+        links = _verified(more.join(pairs, ["a", "b"], "left_anti"), classes, texts)
+        groups = components(links.unionAll(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     of = classes.join(groups, F.col("set_id") == F.col("node"), "left").select("set_id", "doc", F.coalesce("root", "set_id").alias("root"))
     least = of.groupBy("root").agg(F.min("doc").alias("component_id"))
     of = of.join(least, "root").select("set_id", "component_id")

@@ -218,6 +218,40 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("n_words", [40, 4000])
+def test_line_dedup_finds_all_near_lines(spark, n_words):
+    rng, lines = np.random.default_rng(n_words), []
+    for n in [*range(5, 14), 16, 20, 31, 64, 70, 130]:
+        for edits in (1, n // 8, n // 4, n // 4, n // 4 + 1):
+            line = [f"w{i}" for i in rng.integers(0, n_words, n)]
+            lines.append(line)
+            changed = list(line)
+            # Spread evenly, so that no run but the shortest is left, or anywhere: words replaced, put in, taken out.
+            for j in range(edits):
+                at = int((j + 1) * n / (edits + 1)) if rng.random() < 0.5 else int(rng.integers(0, len(changed)))
+                at, kind = min(at, len(changed) - 1), rng.integers(0, 3)
+                changed[at : at + (kind != 1)] = [f"new{rng.integers(0, 1000)}"] if kind < 2 else []
+            lines.append(changed)
+    lines = [x for x in lines if len(x) >= 5]
+    root = list(range(len(lines)))
+    near = [(i, j) for j in range(len(lines)) for i in range(j) if min(len(lines[i]), len(lines[j])) >= 0.75 * max(len(lines[i]), len(lines[j])) and _edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 4]
+    for i, j in near:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(df).where("n_kept = 1").collect()}
+    assert len(near) > 40 and kept == set(root)
+
+
 def test_simhash(spark):
     words = [[f"w{i}" for i in range(n)] for n in (1, 2, 63, 64, 200)]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))

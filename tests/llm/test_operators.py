@@ -325,6 +325,16 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.complete(lengths, 10)) == 3
 
 
+def test_bin_completion_tries_all_undominated_fillings():
+    assert len(packing.complete([70, 69, 16, 15, 10, 10, 10], 100)) == 2  # 70 + 10 + 10 + 10
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        cuts = [np.sort(rng.choice(np.arange(1, 2048), rng.integers(2, 4), replace=False)) for _ in range(4)]
+        lengths = [int(x) for c in cuts for x in np.diff([0, *c, 2048])]
+        got = packing.complete(lengths)
+        assert len(got) == 4 and sorted(x for b in got for x in b) == sorted(lengths) and all(sum(b) <= 2048 for b in got)
+
+
 def test_toxicity_gradient():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in toxicity._initial(rng).items()}

@@ -3,8 +3,8 @@
 Documents are tokenised and closed by id 0; one longer than a sequence is cut into full pieces, the first piece taking
 the remainder. Pieces are dealt evenly to shards by a hash, and each shard is packed by itself: the incumbent is
 the best-fit-decreasing packing; unless it meets the lower bound, the search fills one sequence at a time around
-the largest piece left, tries undominated fillings by least waste, and drops branches whose waste shows that they
-cannot beat the incumbent. The search has a budget of nodes and keeps the best packing found.
+the largest piece left, tries all undominated fillings by least waste, and drops branches whose waste shows that they
+cannot beat the incumbent. Only the budget of NODES fillings a shard ends the search early; it keeps the best packing found.
 
 Defined results: a null text is empty and packs its closing id alone. Repeated rows are packed each. An empty table gives none.
 Extra columns may be carried along.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,11 +200,37 @@ def best_fit(lengths: list[int], size: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def fillings(left: _Lengths, room: int, width: int = WIDTH) -> list[tuple[int, list[int]]]:
-    """Up to width undominated ways to fill room, as (waste, pieces) by least waste. Each takes a first piece and then the largest
-    that fits, again and again; so no piece could be added, and none but the first be exchanged for a larger one."""
-    out, first = [], left.below(room)
-    while first and len(out) < width:
+def _dominated(filling: list[int], waste: int, left: _Lengths, room: int) -> bool:
+    """Whether a piece left out could take the place of some of the filling that are no longer together (or of none), and still fit."""
+    own = Counter(filling)
+
+    def reached(without: int) -> int:
+        sums = 1
+        for x, n in own.items():
+            for _ in range(n if x != without else 0):
+                sums |= sums << x
+        at = 0
+        while at < waste:  # each sum up to waste higher
+            step = min(at + 1, waste - at)
+            sums, at = sums | sums << step, at + step
+        return sums
+
+    out = left.mask & ((2 << room) - 1)
+    both = [x for x in own if left.counts[x] > own[x]]
+    for x in own:
+        out &= ~(1 << x)
+    # A piece is no better than its equal.
+    return bool(reached(0) & out) or any(reached(x) >> x & 1 for x in both)
+
+
+def fillings(left: _Lengths, room: int, width: int = WIDTH) -> Iterator[tuple[int, list[int] | None]]:
+    """All undominated ways to fill room, as (waste, pieces) by least waste; None for one that another dominates. left must be
+    the same whenever the next is asked for. Full ones that up to width first pieces make, each with the largest
+    that fits again and again, come first, as they cost least to find."""
+    met, first = set(), left.below(room)
+    for _ in range(width):
+        if not first:
+            break
         taken, rest = [first], room - first
         left.take(first)
         while rest and (x := left.below(rest)):
@@ -212,45 +239,77 @@ def fillings(left: _Lengths, room: int, width: int = WIDTH) -> list[tuple[int, l
             rest -= x
         for x in taken:
             left.give(x)
-        out.append((rest, taken))
         if not rest:
-            break
+            met.add(tuple(taken))
+            yield 0, taken
         first = left.below(first - 1)
-    return sorted(out, key=lambda x: (x[0], len(x[1]))) or [(room, [])]
+    lengths, x = [], left.below(room)
+    while x:
+        lengths.append(x)
+        x = left.below(x - 1)
+    counts = [left.counts[x] for x in lengths]
+    # Bit t of reach[j]: pieces of lengths[j:] add up to t.
+    reach = [1]
+    for x, n in zip(reversed(lengths), reversed(counts), strict=True):
+        sums, n, step = reach[-1], min(n, room // x), 1
+        while n:
+            step = min(step, n)
+            sums, n, step = sums | sums << (step * x), n - step, 2 * step
+        reach.append(sums & ((2 << room) - 1))
+    reach.reverse()
+
+    def exact(j: int, t: int) -> Iterator[list[int]]:
+        if not t:
+            yield []
+            return
+        while reach[j] >> t & 1:
+            x = lengths[j]
+            for n in range(min(counts[j], t // x), 0, -1):
+                if reach[j + 1] >> (t - n * x) & 1:
+                    for rest in exact(j + 1, t - n * x):
+                        yield [x] * n + rest
+            j += 1
+
+    for waste in range(room + 1):
+        if reach[0] >> (room - waste) & 1:
+            for filling in exact(0, room - waste):
+                if tuple(filling) not in met:
+                    yield waste, None if _dominated(filling, waste, left, room) else filling
 
 
 def complete(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> list[list[int]]:
-    """The best packing found within the budget: at most as many sequences as best fit has."""
+    """The best packing found within the budget of nodes (fillings looked at, besides one for each sequence): at most as many
+    sequences as best fit has, and the fewest if the budget lasts."""
     if not lengths:
         return []
     best, bound, total = best_fit(lengths, size), lower_bound(lengths, size), sum(lengths)
     left = _Lengths(np.bincount(lengths, minlength=size + 1).tolist())
     stack: list[list] = []  # the largest piece, the filling tried around it, the waste before, fillings untried
-    waste = 0
-    for _ in range(nodes + len(best)):
-        if len(best) <= bound:
-            break
+    waste, budget = 0, nodes + len(best)
+    while budget > 0 and len(best) > bound:
         # A better packing has a sequence less, which tells how much it may waste in all.
-        most = (len(best) - 1) * size - total
-        if waste <= most and left.mask:
+        if left.mask:
             largest = left.mask.bit_length() - 1
             left.take(largest)
-            ways = [w for w in fillings(left, size - largest) if waste + w[0] <= most]
-            left.give(largest)
-            stack.append([largest, None, waste, ways])
-        elif waste <= most:
+            stack.append([largest, [], waste, fillings(left, size - largest)])
+        else:
             best = [[largest, *filling] for largest, filling, _, _ in stack]
-        while stack:  # to the next untried filling, here or further up
+        most = (len(best) - 1) * size - total
+        while stack and budget > 0:  # to the next untried filling, here or further up
             largest, tried, before, ways = stack[-1]
-            for x in (largest, *tried) if tried is not None else ():
+            for x in tried:
                 left.give(x)
-            if ways:
-                lost, chosen = ways.pop(0)
-                for x in (largest, *chosen):
+            stack[-1][1] = []
+            lost, chosen = next(ways, (size, None))
+            budget -= 1
+            if before + lost > most or lost == size:
+                left.give(largest)
+                stack.pop()
+            elif chosen is not None:
+                for x in chosen:
                     left.take(x)
                 stack[-1][1], waste = chosen, before + lost
                 break
-            stack.pop()
         else:
             break
     return best

@@ -358,6 +358,22 @@ def test_windows_cover_all():
         assert set(toxicity.windows_of(rows).ravel()) - {0} == set(rows)
 
 
+@pytest.mark.parametrize("n", [64, 65, 96, 97, 128, 1000])
+def test_toxicity_takes_all_of_long_words(n):
+    word = "".join(chr(0x4E00 + i) for i in range(n))
+    pieces = toxicity.tokens(f"a {word} b")[1:-1]
+    assert all(len(x) <= 64 for x in pieces) and all(any(word[i : i + 32] in x for x in pieces) for i in range(n - 31))
+    assert {g for i in range(n - 2) for g in toxicity.trigrams(word[i : i + 3])[1:2]} <= {g for x in pieces for g in toxicity.trigrams(x)}
+
+
+def test_toxicity_behind_a_long_prefix():
+    rng = np.random.default_rng(1)
+    words = lambda bad: " ".join(["zqxkzqxk"] * 3 * bad + [f"word{i}" for i in rng.integers(0, 50, 20)])
+    scorer = toxicity.Scorer(toxicity.train([(words(i % 2), i % 2) for i in range(200)]))
+    clean, toxic = scorer.score(["_".join(["word1"] * 60), "_".join(["word1"] * 30 + ["zqxkzqxk"] * 20 + ["word1"] * 30)])
+    assert toxic > clean + 0.2
+
+
 def test_toxicity(spark, odd, none):
     d = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -2,7 +2,7 @@
 
 A word's input joins a learned vector for the word (by hash), the mean of learned vectors for its character trigrams
 (by hash), and the smoothed log-odds of the word and of its trigrams between toxic and other training documents. A text
-is scored in all its windows of WINDOW words, STRIDE apart, so that they overlap. Each window runs through the network
+is scored in all its windows of WINDOW words (a word of over PIECE characters counts as its overlapping pieces), STRIDE apart, so that they overlap. Each window runs through the network
 in both directions; attention weighs its states; the text's score is that of its highest window.
 
 Training: labels are those of documents; the loss of a document is that of its highest window. Rows may be a bounded
@@ -35,6 +35,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
 #: Words whose inputs a worker remembers.
 MEMORY = 100_000
+#: Longer words (text without spaces) are cut into pieces of so many characters.
+PIECE = 64
 _EDGE = ".,;:!?\"'()[]{}|*-_<>"
 
 
@@ -48,11 +50,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def tokens(text: str | None) -> list[str]:
-    return [w.strip(_EDGE) or w for w in (text or "").lower().split()]
+    """The text's words; of one over PIECE characters its pieces of PIECE, half overlapping."""
+    words = [w.strip(_EDGE) or w for w in (text or "").lower().split()]
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)] if any(len(w) > PIECE for w in words) else words
 
 
 def trigrams(word: str) -> list[int]:
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     return [xxhash.xxh32_intdigest(w[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(w) - 2))]
 
 

@@ -7,7 +7,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _op1() -> str:
     hosts = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{a}')" for r, a in url_filters.HOST_RULES)
-    globs = "".join(f" WHEN host || path LIKE '%{g.strip('*')}%' THEN '{g}'" for g, _ in url_filters.GLOBS)
+    globs = "".join(f" WHEN host || translate(path, '{_UP}', '{_LOW}') LIKE '%{g.strip('*')}%' THEN '{g}'" for g, _ in url_filters.GLOBS)
     return f"""
 WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
      split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host,
@@ -15,8 +15,8 @@ WITH parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url,
      rules(rule_host, rule_path, rule, verdict) AS (VALUES {hosts}),
      fits AS (SELECT s.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(r.rule) DESC NULLS LAST) AS k
               FROM split s LEFT JOIN rules r ON (s.host = r.rule_host OR ends_with(s.host, '.' || r.rule_host)) AND starts_with(s.path, r.rule_path))
-SELECT page_id, host, path, coalesce(rule, CASE{globs} END) AS rule,
-       coalesce(verdict, CASE WHEN CASE{globs} END IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN CASE{globs} END IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN rule IS NULL THEN CASE{globs} END END AS pattern
 FROM fits WHERE k = 1"""
 
 

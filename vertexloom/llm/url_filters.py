@@ -7,7 +7,7 @@ empty token, which every URL has.
 Two kinds of rule:
 
 * ``host/path``: fits the host and its subdomains if the URL's path starts with the rule's;
-* ``*glob*``: any string with ``*`` in it, matched against the lower-cased ``host`` + ``path``.
+* ``*glob*``: any string with ``*`` in it, matched against ``host`` + ``path`` whatever the case of A-Z.
 
 Where several fit, the longest rule wins, host/path rules before globs, then the smaller string.
 
@@ -52,7 +52,7 @@ def compile_rule(rule: str, action: str) -> Rule:
         regex = "^" + ".*".join(_quoted(p) for p in rule.lower().split("*")) + "$"
         # A token is whole if the rule itself has a separator on either side of it.
         tokens = [m[0] for p in rule.lower().split("*") for m in re.finditer(r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])", p)]
-        return Rule(rule, action, f"(?s){regex}", tuple(dict.fromkeys(tokens)), len(rule))
+        return Rule(rule, action, f"(?is){regex}", tuple(dict.fromkeys(tokens)), len(rule))
     host, slash, path = rule.partition("/")
     host = host.translate(str.maketrans(UPPER, UPPER.lower()))
     regex = r"^(?:[^/]*\.)?" + _quoted(host) + (_quoted(slash + path) if slash else "(?:/|$)")

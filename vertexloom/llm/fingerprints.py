@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SECTION_END, PARAGRAPH_END = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)"
 LEAF = r"[^.!?\n]{1,48}[.!?\s]*|[.!?\s]+"
-#: Ids are dealt to ranges by a histogram of so many equal steps; the driver holds as many counts.
+#: Ids are dealt to ranges by a histogram of so many equal steps at a time; the driver holds about as many counts.
 STEPS = 4096
 
 
@@ -61,22 +61,46 @@ def differing(a: Column, b: Column) -> Column:
     return F.filter(marked, lambda x: x.isNotNull())
 
 
-def in_ranges(df: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
-    """df with range_id: about n ranges of ascending key, by an exact count over equal steps; null keys are in range 0. A
-    pure function of the rows, so lost tasks and reruns deal alike."""
+def boundaries(df: DataFrame, key: str, n: int) -> list[int]:
+    """Where at most n ranges of ascending key and nearly equal counts begin, but for the first. An exact count over cells of
+    equal width; cells with more than their share of rows are counted anew in finer ones, so outlying keys do no harm.
+    The driver holds some STEPS counts."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return df.withColumn("range_id", F.lit(0)), 1
-    step = max(1, -(-(high - low + 1) // STEPS))
-    at = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(step)), F.lit(0)).cast("int")
-    counts = dict(df.groupBy(at.alias("at")).count().collect())
-    total, run, ids = sum(counts.values()), 0, []
-    for i in range(max(counts) + 1):
-        ids.append(min(n - 1, run * n // total))
-        run += counts.get(i, 0)
-    dense = {x: k for k, x in enumerate(sorted({ids[i] for i in counts}))}
-    ids = [dense.get(x, 0) for x in ids]
-    return df.withColumn("range_id", F.element_at(F.array(*map(F.lit, ids)), at + 1)), len(dense)
+        return []
+    cell = lambda shift: F.shiftright(F.col(key).cast("long"), shift)
+    shift = max(0, (high - low).bit_length() - STEPS.bit_length() + 1)
+    found = df.where(F.col(key).isNotNull()).groupBy(cell(shift).alias("c")).count().collect()
+    cells = {r["c"] << shift: r["count"] for r in found}
+    most = max(1, sum(cells.values()) // n)
+    heavy = {r["c"] for r in found if r["count"] > most}
+    while heavy and shift:
+        before, shift = shift, max(0, shift - max(1, STEPS.bit_length() - 1 - len(heavy).bit_length()))
+        found = df.where(cell(before).isin(sorted(heavy))).groupBy(cell(shift).alias("c")).count().collect()
+        for c in heavy:
+            del cells[c << before]
+        cells |= {r["c"] << shift: r["count"] for r in found}
+        heavy = {r["c"] for r in found if r["count"] > most}
+    total, run, last, out = sum(cells.values()), 0, 0, []
+    for start in sorted(cells):
+        at = min(n - 1, run * n // total)
+        if at > last:
+            out.append(start)
+        last, run = max(at, last), run + cells[start]
+    return out
+
+
+def in_ranges(df: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """df with range_id: about n ranges of ascending key; null keys are in range 0. A pure function of the rows, so lost tasks
+    and reruns deal alike."""
+    starts = boundaries(df, key, n)
+
+    def which(low: int, high: int) -> Column:
+        """Of the ranges from low to high, by halving."""
+        middle = (low + high + 1) // 2
+        return F.lit(low) if low == high else F.when(F.col(key) < starts[middle - 1], which(low, middle - 1)).otherwise(which(middle, high))
+
+    return df.withColumn("range_id", F.when(F.col(key).isNull(), 0).otherwise(which(0, len(starts)))), len(starts) + 1
 
 
 def with_next(df: DataFrame, key: str, value: str, tie: str, made: Callable[[Column], Column]) -> DataFrame:

@@ -1,6 +1,6 @@
 """A deterministic sharded WARC writer, and the reader that gets the records back.
 
-Records are put into ranges of their id by an exact histogram, sorted in each, and written as members of gzip files that
+Records are put into ranges of their id by an exact histogram, shuffled once, sorted in each, and written as members of gzip files that
 roll when their compressed size is reached. Headers and digests are made anew from the payloads. Of records with equal payloads of a
 minimum size one is the response and the others revisit it. A task writes under a temporary name of its own and renames to
 the final one, which depends on the rows alone; so a task that runs again or twice leaves the same files. The driver
@@ -20,7 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,25 +29,33 @@ from ..shipping import ship
 from .fingerprints import in_ranges
 
 MIN_SHARED, ROLL_BYTES = 100, 32 << 20
+#: Payload bytes for each shard, which one task sorts and writes.
+SHARD_BYTES = 128 << 20
 #: WARC-Date of every record: a writer that took the time would not be deterministic.
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "manifest.json"
-_FILES = "file string, records long, bytes long, sha256 string, first string, last string"
+#: What the writer and the reader return, for Arrow and for Spark.
+_DDL = {
+    "files": "file string, records long, bytes long, sha256 string, first string, last string",
+    "read": "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string",
+}
+_FILES, _READ = (pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in ddl.split(", ")]) for ddl in _DDL.values())
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def record_types(df: DataFrame, id_col: str, payload_col: str, min_shared: int = MIN_SHARED) -> DataFrame:
-    """df with digest, payload bytes, and refers_to: the id that a revisit repeats. The payloads themselves stay out of the shuffle
-    for grouping."""
-    payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = df.withColumn("payload_digest", F.sha2(payload, 256)).withColumn("payload_bytes", F.octet_length(payload).cast("long"))
-    first = rows.where(F.col("payload_bytes") >= min_shared).groupBy("payload_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(first, "payload_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return rows.withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first")
+def _digest(payload: Column) -> Column:
+    return F.sha2(F.encode(F.coalesce(payload, F.lit("")), "UTF-8"), 256)
+
+
+def revisits(rows: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
+    """Of rows (shard, id, payload) those that repeat another's payload: shard, id, digest and refers_to, the smallest id
+    of those with the payload. Payloads stay out of the shuffle: digests are grouped and joined."""
+    narrow = rows.where(F.octet_length("payload") >= min_shared).select("shard", "id", _digest(F.col("payload")).alias("digest"))
+    first = narrow.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and refers_to is not null").drop("_n")
+    return narrow.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select("shard", "id", "digest", "refers_to")
 
 
 def _record(page: object, url: str | None, payload: bytes, size: int, digest: str, refers: object) -> bytes:
@@ -62,11 +70,12 @@ def _record(page: object, url: str | None, payload: bytes, size: int, digest: st
 
 
 def _writer(folder: str, roll_bytes: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         mine, done = uuid.uuid4().hex, []
         out = shard = None
         state: dict = {}
+        told: tuple = (None, {})  # an id, and what its rows refer to by their digest
 
         def close() -> None:
             nonlocal out
@@ -78,48 +87,60 @@ def _writer(folder: str, roll_bytes: int):
             done.append((name, state["records"], state["bytes"], state["hash"].hexdigest(), state["first"], state["last"]))
             out = None
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                page, refers = (None if pd.isna(x) else int(x) for x in (row.id, row.refers_to))
-                if out is not None and (row.shard != shard or state["bytes"] >= roll_bytes):
-                    close()
-                if out is None:
-                    state = {"roll": state["roll"] + 1 if row.shard == shard else 0, "records": 0, "bytes": 0, "hash": hashlib.sha256(), "first": str(page)}
-                    shard = row.shard
-                    fs.create_dir(f"{root}/_temporary", recursive=True)
-                    out = fs.open_output_stream(f"{root}/_temporary/{mine}", compression=None)
-                payload = b"" if refers is not None or row.payload is None else row.payload.encode()
-                member = gzip.compress(_record(page, row.url, payload, row.payload_bytes, row.payload_digest, refers), 6, mtime=0)
-                out.write(member)
-                state["hash"].update(member)
-                state["records"] += 1
-                state["bytes"] += len(member)
-                state["last"] = str(page)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                for own, page, of, refers, url, payload in zip(*(c.to_pylist() for c in whole.slice(low, 256).columns), strict=True):
+                    if told[0] != (page, own):
+                        told = ((page, own), {})
+                    if of is not None:
+                        told[1][of] = refers
+                        continue
+                    if out is not None and (own != shard or state["bytes"] >= roll_bytes):
+                        close()
+                    if out is None:
+                        state = {"roll": state["roll"] + 1 if own == shard else 0, "records": 0, "bytes": 0, "hash": hashlib.sha256(), "first": str(page)}
+                        shard = own
+                        fs.create_dir(f"{root}/_temporary", recursive=True)
+                        out = fs.open_output_stream(f"{root}/_temporary/{mine}", compression=None)
+                    data = (payload or "").encode()
+                    digest = hashlib.sha256(data).hexdigest()
+                    member = gzip.compress(_record(page, url, data, len(data), digest, told[1].get(digest)), 6, mtime=0)
+                    out.write(member)
+                    state["hash"].update(member)
+                    state["records"] += 1
+                    state["bytes"] += len(member)
+                    state["last"] = str(page)
             if done:
-                yield pd.DataFrame(done, columns=[c.split()[0] for c in _FILES.split(", ")])
+                yield _batch(done, _FILES)
                 done.clear()
         close()
         if done:
-            yield pd.DataFrame(done, columns=[c.split()[0] for c in _FILES.split(", ")])
+            yield _batch(done, _FILES)
 
     return write
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", n_shards: int | None = None, roll_bytes: int = ROLL_BYTES, min_shared: int = MIN_SHARED) -> list[dict]:
     """Writes an archive of df to folder (file://, hdfs:// or what else pyarrow opens; shared by all machines) and returns its
-    manifest: a row for each file."""
+    manifest: a row for each file. Without n_shards their number follows the bytes, SHARD_BYTES for each."""
     spark = df.sparkSession
     ship(spark)
-    n = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"))
-    rows, _ = in_ranges(rows, "id", n)
-    rows = record_types(rows.withColumnRenamed("range_id", "shard"), "id", "payload", min_shared)
-    # A revisit's payload is not written, so it is not shuffled either.
-    rows = rows.select("shard", "id", "url", _unless(F.col("refers_to").isNotNull(), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "refers_to")
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "url", "payload_digest")
+    n = n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // SHARD_BYTES))
+    rows, n = in_ranges(rows, "id", n)
+    rows = rows.withColumnRenamed("range_id", "shard")
+    # Each payload is shuffled once. What it repeats comes to its shard as a row of its own, which stands before it.
+    void = lambda kind: F.lit(None).cast(kind)
+    told = revisits(rows, min_shared).select("shard", "id", "digest", "refers_to", void("string").alias("url"), void("string").alias("payload"))
+    rows = rows.select("shard", "id", void("string").alias("digest"), void("long").alias("refers_to"), "url", "payload").unionAll(told)
+    rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    files = sorted((r.asDict() for r in rows.mapInPandas(_writer(folder, roll_bytes), _FILES).collect()), key=lambda x: x["file"])
+    files = sorted((r.asDict() for r in rows.mapInArrow(_writer(folder, roll_bytes), _DDL["files"]).collect()), key=lambda x: x["file"])
     with fs.open_output_stream(f"{root}/_{MANIFEST}", compression=None) as f:
         f.write(json.dumps({"files": files}, sort_keys=True).encode())
     if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
@@ -128,10 +149,6 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     return files
 
 
-def _unless(condition: Column, value: Column) -> Column:
-    return F.when(~condition, value)
-
-
 def _lines(head: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
 
@@ -165,15 +182,11 @@ def _parsed(record: bytes) -> tuple:
     return (None if page == "null" else int(page), urllib.parse.unquote(h["WARC-Target-URI"]), int(_lines(http)["Content-Length"]), digest, h["WARC-Type"], refers and int(refers), payload.decode() if h["WARC-Type"] == "response" else None)
 
 
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-
-
 def _reader(folder: str, payloads: bool):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
-        names = [c.split()[0] for c in _READ.split(", ")]
-        for pdf in batches:
-            for name in pdf["file"]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for record in _records(f):
@@ -181,24 +194,19 @@ def _reader(folder: str, payloads: bool):
                         rows.append(row if payloads else (*row[:-1], None))
                         held += len(record) if payloads else 1000
                         if held > 16 << 20:
-                            yield _frame(rows, names)
+                            yield _batch(rows, _READ)
                             rows, held = [], 0
                 if rows:
-                    yield _frame(rows, names)
+                    yield _batch(rows, _READ)
 
     return read
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
 def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of a committed archive, their digests checked; a task for each file. payloads: whether to carry them along."""
     ship(spark)
     fs, root = _filesystem(folder)
     with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-        files = [(x["file"],) for x in json.loads(f.read())["files"]]
-    named = spark.createDataFrame(files, "file string").repartitionByRange(max(1, len(files)), "file")
-    return named.mapInPandas(_reader(folder, payloads), _READ)
+        files = [(k, x["file"]) for k, x in enumerate(json.loads(f.read())["files"])]
+    named = spark.createDataFrame(files, "number int, file string").repartitionById(max(1, len(files)), "number").select("file")
+    return named.mapInArrow(_reader(folder, payloads), _DDL["read"])

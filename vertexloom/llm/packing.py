@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion with branch and bound.
 
 Documents are tokenised and closed by id 0; one longer than a sequence is cut into full pieces, the first piece taking
-the remainder. Pieces are dealt evenly to shards by a hash, and each shard is packed by itself: the incumbent is
+the remainder. Pieces are dealt to shards in turn, and each shard is packed by itself: the incumbent is
 the best-fit-decreasing packing; unless it meets the lower bound, the search fills one sequence at a time around
 the largest piece left, tries all undominated fillings by least waste, and drops branches whose waste shows that they
 cannot beat the incumbent. Only the budget of NODES fillings a shard ends the search early; it keeps the best packing found.
@@ -18,7 +18,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ _WHITE[[9, 10, 13, 32]] = True
 class Encoder:
     """Encodes texts by their parts: runs of white space with the run after them, each distinct part once. The
     pre-tokeniser never joins what stands on two sides of the end of a run of non-white characters, so the parts' ids are
-    the text's. Texts with other white space are encoded whole."""
+    the text's, and new parts are encoded as one string. Texts with other white space are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,71 +53,106 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, np.ndarray] = {}
+        # Known parts by ascending hash, and where their ids stand in flat.
+        self.hashes, self.begins, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has. Each part begins with white space and ends without."""
+        said = self.tokenizer.encode("".join(parts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        last = np.array(said.offsets, np.int64).reshape(-1, 2)[:, 1]
+        return np.array(said.ids, np.uint32), np.bincount(np.searchsorted(ends, last), minlength=len(parts))
+
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         data, offsets = textscan.buffers(column)
         for first, past in textscan.groups(offsets):
             low, high = int(offsets[first]), int(offsets[past])
             view, bounds = data[low:high], offsets[first : past + 1] - low
-            if past == first + 1 and high - low > 4 * textscan.GROUP:
-                yield np.concatenate([x for a, b in textscan._pieces(data, low, high) for x in self._group(data[a:b], np.array([0, b - a]))])
+            if past == first + 1 and high - low > 4 * textscan.GROUP and not len(_odd(view)):
+                yield np.concatenate([x for a, b in textscan.pieces(data, low, high) for x in self._group(data[a:b], np.array([0, b - a]))])
             else:
                 yield from self._group(view, bounds)
 
     def _group(self, view: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        n = len(bounds) - 1
+        n, raw = len(bounds) - 1, view.tobytes()
         odd = np.zeros(n, bool)
-        where = np.flatnonzero(_ODD[view])
-        if len(where):
-            # C2 begins letters too; only C2 85 and C2 A0 are white. E1, E2 and E3 are taken whole.
-            after = view[np.minimum(where + 1, len(view) - 1)]
-            where = where[(view[where] != 0xC2) | (after == 0x85) | (after == 0xA0)]
-            odd[np.searchsorted(bounds, where, "right") - 1] = True
+        odd[np.searchsorted(bounds, _odd(view), "right") - 1] = True
         white = _WHITE[view]
         cut = np.zeros(len(view) + 1, bool)
         cut[1:-1] = (white[1:] & ~white[:-1]) | (_MARK[view[1:]] & _ALNUM[view[:-1]])
         cut[bounds] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]
-        hashes = textscan.run_hashes(view, starts, ends)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        known, parts, missing = self.known, [None] * len(distinct), []
-        for i, h in enumerate(distinct.tolist()):
-            if (ids := known.get(h)) is None:
-                missing.append(i)
-            parts[i] = ids
-        raw = view.tobytes()
-        # A part of a text that is encoded whole may be a broken character; its ids are not used.
-        said = [raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in missing]
-        for i, ids in zip(missing, self.encode(said), strict=True):
-            parts[i] = ids
-            if len(known) < MEMORY:
-                known[int(distinct[i])] = ids
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        begins = np.cumsum(sizes) - sizes
+        if odd.any():
+            own = ~odd[np.searchsorted(bounds, starts, "right") - 1]
+            starts, ends = starts[own], ends[own]
+        distinct, at, back = np.unique(textscan.run_hashes(view, starts, ends), return_index=True, return_inverse=True)
+        flat, begins, sizes = self._parts(distinct, starts[at], ends[at], view, raw)
         back = back.reshape(-1)
         run = sizes[back]
         ends_of = np.concatenate([[0], np.cumsum(run)])
-        ids = flat[np.repeat(begins[back] - ends_of[:-1], run) + np.arange(int(ends_of[-1]))] if len(run) else flat
-        of = ends_of[np.searchsorted(edges, bounds)] if len(edges) > 1 else np.zeros(n + 1, np.int64)
+        ids = flat[np.repeat(begins[back] - ends_of[:-1], run) + np.arange(int(ends_of[-1]))] if len(run) else flat[:0]
+        of = ends_of[np.searchsorted(starts, bounds)]
         for i in range(n):
             yield self.encode([raw[bounds[i] : bounds[i + 1]].decode()])[0] if odd[i] else ids[of[i] : of[i + 1]]
 
+    def _parts(self, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, view: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct part where its ids begin in the returned array, and how many they are."""
+        place = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == distinct
+        begins, sizes = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begins[known], sizes[known] = self.begins[place[known]], self.sizes[place[known]]
+        fresh, flat = np.flatnonzero(~known), self.flat
+        if len(fresh):
+            simple = _WHITE[view[starts[fresh]]] & ~_WHITE[view[ends[fresh] - 1]]
+            for own, alone in ((fresh[simple], False), (fresh[~simple], True)):
+                if not len(own):
+                    continue
+                said = [raw[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+                if alone:
+                    made = self.encode(said)
+                    ids, counts = np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
+                else:
+                    ids, counts = self.joined(said)
+                begins[own], sizes[own] = len(flat) + np.cumsum(counts) - counts, counts
+                flat = np.concatenate([flat, ids])
+            if len(self.hashes) + len(fresh) <= MEMORY:
+                self.flat = flat
+                self.hashes, self.begins, self.sizes = (np.insert(old, place[fresh], new[fresh]) for old, new in ((self.hashes, distinct), (self.begins, begins), (self.sizes, sizes)))
+        return flat, begins, sizes
+
+
+def _odd(view: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII, or what may be it, begins."""
+    where = np.flatnonzero(_ODD[view])
+    if len(where):
+        # C2 begins letters too; only C2 85 and C2 A0 are white. E1, E2 and E3 are taken whole.
+        after = view[np.minimum(where + 1, len(view) - 1)]
+        where = where[(view[where] != 0xC2) | (after == 0x85) | (after == 0xA0)]
+    return where
+
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PLACED = ", sequence_id long, offset long"
+
+
+def _pieces(path: str, keep_ids: bool, shards: int):
+    """Pieces of documents, dealt to the shards in turn from one that the task's first document tells."""
+    schema = _schema(keep_ids)
 
+    def rows_of(rows: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
-def _pieces(path: str, keep_ids: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, turn = Encoder(path), None
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            rows: dict[str, list] = {f.name: [] for f in schema}
             held = 0
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(CLOSING)).astype("<u4")
@@ -126,23 +160,24 @@ def _pieces(path: str, keep_ids: bool):
                 while start < len(ids):
                     length = len(ids) if len(ids) <= SEQUENCE else (len(ids) % SEQUENCE or SEQUENCE) if not piece else SEQUENCE
                     own = ids[start : start + length]
-                    for k, v in (("doc_id", doc), ("piece", piece), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(own.tobytes()))):
+                    crc = zlib.crc32(own.tobytes())
+                    turn = crc if turn is None else turn + 1
+                    for k, v in (("doc_id", doc), ("piece", piece), ("start", start), ("length", length), ("ids_crc32", crc), ("_shard", turn % shards)):
                         rows[k].append(v)
                     if keep_ids:
                         rows["ids"].append(own.astype(np.int32))
                     start, piece, held = start + length, piece + 1, held + length
                 if held > 1 << 20:
-                    yield _piece_rows(rows, keep_ids)
+                    yield rows_of(rows)
                     rows, held = {k: [] for k in rows}, 0
             if rows["doc_id"]:
-                yield _piece_rows(rows, keep_ids)
+                yield rows_of(rows)
 
     return make
 
 
-def _piece_rows(rows: dict[str, list], keep_ids: bool) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
-    return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
+def _schema(keep_ids: bool) -> pa.Schema:
+    return pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep_ids else []), ("_shard", pa.int64())])
 
 
 class _Lengths:
@@ -315,16 +350,18 @@ def complete(lengths: list[int], size: int = SEQUENCE, nodes: int = NODES) -> li
     return best
 
 
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+def _packed(pieces: pa.Table) -> pa.Table:
     places: dict[int, list[tuple[int, int]]] = {}
-    for i, own in enumerate(complete(pdf["length"].tolist())):
+    lengths = pieces.column("length").to_pylist()
+    for i, own in enumerate(complete(lengths)):
         at = 0
         for x in own:
             places.setdefault(x, []).append((i, at))
             at += x
-    where = [places[x].pop() for x in pdf["length"].tolist()]
-    base = int(pdf["_shard"].iloc[0]) << 32
-    return pdf.drop(columns="_shard").assign(sequence_id=[base + i for i, _ in where], offset=[at for _, at in where])
+    where = [places[x].pop() for x in lengths]
+    base = pieces.column("_shard")[0].as_py() << 32
+    out = pieces.drop_columns("_shard").append_column("sequence_id", pa.array([base + i for i, _ in where], pa.int64()))
+    return out.append_column("offset", pa.array([at for _, at in where], pa.int64()))
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -332,6 +369,5 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ship(df.sparkSession)
     kinds = _PIECES + (", ids array<int>" if keep_ids else "")
     shards = max(1, -(-df.count() // shard_docs))
-    pieces = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, keep_ids), kinds)
-    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    return pieces.groupBy("_shard").applyInPandas(_packed, kinds + ", sequence_id long, offset long")
+    pieces = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, keep_ids, shards), kinds + ", _shard long")
+    return pieces.groupBy("_shard").applyInArrow(_packed, kinds + _PLACED)

@@ -74,7 +74,7 @@ def words(data: np.ndarray, offsets: np.ndarray, first: int, past: int) -> tuple
     """Hashes of all words (A-Z lower-cased) of rows first to past, and the number of words before each row and at the end."""
     low, high = int(offsets[first]), int(offsets[past])
     if past == first + 1 and high - low > 4 * GROUP:
-        parts = [words(data, np.array(piece), 0, 1)[0] for piece in _pieces(data, low, high)]
+        parts = [words(data, np.array(piece), 0, 1)[0] for piece in pieces(data, low, high)]
         return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     view = _LOWER[data[low:high]]
     space = _SPACE[view]
@@ -90,11 +90,13 @@ def words(data: np.ndarray, offsets: np.ndarray, first: int, past: int) -> tuple
     return run_hashes(view, starts, ends), np.searchsorted(starts, bounds)
 
 
-def _pieces(data: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about GROUP bytes that begin with a run of white space, never inside one."""
     while low < high:
         past = min(low + GROUP, high)
-        while past < high and not _SPACE[data[past]]:
-            step = np.flatnonzero(_SPACE[data[past : past + GROUP]])
+        while past < high and not (_SPACE[data[past]] and not _SPACE[data[past - 1]]):
+            white = _SPACE[data[past - 1 : past + GROUP]]
+            step = np.flatnonzero(white[1:] & ~white[:-1])
             past = past + int(step[0]) if len(step) else min(past + GROUP, high)
         yield low, past
         low = past

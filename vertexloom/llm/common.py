@@ -52,24 +52,39 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint, which outlives the executors that wrote it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+#: Whether Spark deletes an execution's shuffle files as it ends. Nothing reads those behind a table once it is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), but as a columnar table: far smaller for wide or repetitive rows."""
-    path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a table that stored() has written, once nothing will read it again."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """The same rows with their lineage cut, as a table in the shared folder: it outlives the executors that wrote it. The
+    shuffle files behind it go at once."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, what)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table that may be broadcast.
+MAX_BROADCAST = 32 << 20
+
+
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if the sizes of its rows add up to MAX_BROADCAST bytes at most; else it is joined by shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST else df
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files behind tables that stored() has written, once nothing will read them again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

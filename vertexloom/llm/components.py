@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-MAX_ROUNDS = 60
+from .common import removed, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,25 +13,23 @@ def components(links: DataFrame) -> DataFrame:
     another and the smallest node it reaches.
 
     Each round ties every node's larger neighbours, then its smaller ones, to the smallest; stars are the fixed point.
-    A node's neighbours are reduced by min() before the shuffle and joined back, never collected. Every round is cut by a
-    reliable checkpoint. The rounds grow with the logarithm of the longest path."""
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    A node's neighbours are reduced by min() before the shuffle and joined back, never collected; what a hub has is split by
+    Spark's skewed joins. Every round is written as a table and the last one's goes. The rounds grow with the logarithm of the longest
+    path; they end, as each that changes a tie lowers it. Nulls link nothing. An empty table gives none."""
+    edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "ties")
     before = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        after = _state(edges)
-        if after == before:
+        tied = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
+        after = stored(tied.distinct(), "ties")
+        removed(large, edges)
+        edges, state = after, _state(after)
+        if state == before:
             break
-        before = after
-    else:
-        raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")
+        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

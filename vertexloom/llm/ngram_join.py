@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textscan
-from .common import stored
+from .common import removed, small, stored
 from .components import components
 
 #: Frequent shingles at most: 9 bytes each on the driver and as broadcast, however large the corpus. Shingles of a block of counts.
-FREQUENT, BLOCK, PROBES = 1 << 20, 1 << 22, 16
-#: Rows that name classes, up to this many (16 MB), are broadcast to fetch their texts; more are joined by shuffle.
-MAX_BROADCAST = 1_000_000
+FREQUENT, BLOCK, PROBES = 1 << 20, 1 << 21, 16
+#: Parts of the shingles whose postings are shuffled one after the other, so that a part of all lies on disk at a time.
+PARTS = 2
+#: Classes a task remembers to have posted; a copy posted again costs time only.
+POSTED = 50_000
 #: Similarity 3/4 in integers.
 UP, DOWN = 3, 4
 #: Rounds in which the open lists of over WIDE rows are paired with drawn heads before their pairs; orders to draw them by.
@@ -106,20 +108,26 @@ def _rare_first(s: np.ndarray, shingles: np.ndarray, levels: np.ndarray) -> np.n
     return np.argsort(np.where(shingles[at] == s, levels[at], 0), kind="stable")
 
 
-def _postings(frequent):
+def _postings(frequent, part: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, levels = frequent.value
+        posted: set[int] = set()
         for batch in batches:
             keys, ids, meta, held = [], [], [], 0
             for s in textscan.shingle_sets(batch.column(0)):
                 n = len(s)
-                if not n:
+                if not n or (own := set_id(s)) in posted:
                     continue
+                if len(posted) >= POSTED:
+                    posted.clear()
+                posted.add(own)
                 p = n - (UP * n + DOWN - 1) // DOWN + 1
-                keys.append(s[_rare_first(s, shingles, levels)[:p]])
-                ids.append(np.full(p, set_id(s), np.int64))
-                meta.append((np.int64(n) << 32) | np.arange(p, dtype=np.int64))
-                held += p
+                key = s[_rare_first(s, shingles, levels)[:p]]
+                at = np.flatnonzero(key % np.uint64(PARTS) == part)
+                keys.append(key[at])
+                ids.append(np.full(len(at), own, np.int64))
+                meta.append((np.int64(n) << 32) | at)
+                held += len(at)
                 if held > 1 << 18:
                     yield _longs(keys, ids, meta)
                     keys, ids, meta, held = [], [], [], 0
@@ -213,13 +221,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     may = stored(met.where((UP + DOWN) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * UP * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "pairs")
     wanted = may.select(F.col("a").alias("set_id")).unionAll(may.select(F.col("b").alias("set_id"))).distinct()
     wanted = stored(classes.join(wanted, "set_id", "left_semi").select(F.col("doc").alias("_doc"), F.col("set_id").alias("want")), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-    rows = texts.join(few, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "want")
+    rows = texts.join(small(wanted, F.lit(48)), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "want")
     sets = stored(rows.mapInArrow(_fetched, "set_id long, shingles array<long>").dropDuplicates(["set_id"]), "sets")
     a, b = (sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = F.size(F.array_intersect("s_a", "s_b"))
     met = may.join(a, "a").join(b, "b").where(both * (UP + DOWN) >= UP * (F.col("n_a") + F.col("n_b")))
-    return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = stored(met.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    removed(may, wanted, sets)
+    return links
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of what is in groups and of links."""
+    return components(links.unionAll(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def _rooted(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -253,19 +267,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = sets.where("seen is null").select("doc_id", "n", "set_id", "probes")
     classes = stored(docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("probes").alias("probes")), "classes")
     frequent = spark.sparkContext.broadcast(_frequent(sets))
-    postings = texts.select("text").mapInArrow(_postings(frequent), "shingle long, set_id long, meta long")
-    dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle").sortWithinPartitions("shingle", "meta", "set_id")
-    lists = stored(dealt.mapInArrow(_lists, "shingle long, a long, b long, meta long"), "lists")
+    n, lists = int(spark.conf.get("spark.sql.shuffle.partitions")), None
+    for part in range(PARTS):
+        postings = texts.select("text").mapInArrow(_postings(frequent, part), "shingle long, set_id long, meta long")
+        dealt = postings.repartition(n, "shingle").sortWithinPartitions("shingle", "meta", "set_id")
+        own = stored(dealt.mapInArrow(_lists, "shingle long, a long, b long, meta long"), "lists")
+        lists = own if lists is None else lists.unionAll(own)
     pairs = lists.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(_verified(pairs, classes, texts), "links")
-    groups = components(links)
+    groups = components(_verified(pairs, classes, texts))
     members = lists.where("b is null").select("shingle", F.col("a").alias("set_id"), "meta")
     for number in range(ROUNDS):
         tried = stored(_with_heads(_rooted(members, groups), number).join(pairs, ["a", "b"], "left_anti"), "round")
         if tried.isEmpty():
             break
-        links = _verified(tried, classes, texts)
-        groups = components(links.unionAll(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        groups = _joined(groups, _verified(tried, classes, texts))
         pairs = pairs.unionAll(tried)
     # Lists that hold classes of different components still: their pairs across components.
     rows = _rooted(members, groups)
@@ -273,9 +288,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(rows.join(open_, "shingle", "left_semi").distinct(), "open")
     x, y = (rows.select("shingle", F.col("set_id").alias(s), F.col("root").alias(f"root_{s}"), F.col("meta").alias(f"meta_{s}")) for s in "ab")
     more = stored(x.join(y, "shingle").where("root_a < root_b").where(_may_link("meta_a", "meta_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    removed(rows)
     if not more.isEmpty():
-        links = _verified(more.join(pairs, ["a", "b"], "left_anti"), classes, texts)
-        groups = components(links.unionAll(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        groups = _joined(groups, _verified(more.join(pairs, ["a", "b"], "left_anti"), classes, texts))
     of = classes.join(groups, F.col("set_id") == F.col("node"), "left").select("set_id", "doc", F.coalesce("root", "set_id").alias("root"))
     least = of.groupBy("root").agg(F.min("doc").alias("component_id"))
     of = of.join(least, "root").select("set_id", "component_id")

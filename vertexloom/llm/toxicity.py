@@ -16,28 +16,30 @@ An empty table gives none.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textscan
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 #: Training documents at most, half of them toxic if there are as many; rounds over them; documents for each step; seed.
 MAX_DOCS, EPOCHS, BATCH, SEED = 3000, 4, 32, 7
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
-#: Words whose inputs a worker remembers.
-MEMORY = 100_000
+#: Words whose inputs a worker remembers; windows that run through the network together.
+MEMORY, RUN = 100_000, 4096
 #: Longer words (text without spaces) are cut into pieces of so many characters.
 PIECE = 64
 _EDGE = ".,;:!?\"'()[]{}|*-_<>"
+_EDGES = np.zeros(256, bool)
+_EDGES[[*_EDGE.encode(), 32, *range(9, 14)]] = True
 
 
 def _crc_fold(id_col: str) -> Column:
@@ -50,21 +52,76 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def tokens(text: str | None) -> list[str]:
-    """The text's words; of one over PIECE characters its pieces of PIECE, half overlapping."""
-    words = [w.strip(_EDGE) or w for w in (text or "").lower().split()]
-    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)] if any(len(w) > PIECE for w in words) else words
+    """The text's words, as Words has them: lower-cased, without punctuation around; of one over PIECE characters its pieces of
+    PIECE, half overlapping."""
+    words = [w.strip(_EDGE) or w for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
 def trigrams(word: str) -> list[int]:
-    w = f"<{word}>"
-    return [xxhash.xxh32_intdigest(w[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(w) - 2))]
+    """The rows of a word's character trigrams, its ends marked."""
+    w = np.array([60, *map(ord, word), 62], np.uint64)
+    return _trigram_rows(w[:-2], w[1:-1], w[2:]).tolist()
+
+
+def _trigram_rows(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return (textscan.mixed(x | y << np.uint64(21) | z << np.uint64(42)) % np.uint64(CHAR_ROWS)).astype(np.int64)
+
+
+class Words:
+    """The words of some texts, found in all their bytes at once: hashes of the distinct ones, the texts' words as numbers
+    of these (of, from bounds[i] to bounds[i + 1]), and the trigrams of any of them."""
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join([*texts, b""])
+        view = np.frombuffer(data, np.uint8)
+        space = np.concatenate([[True], (view == 32) | ((view >= 9) & (view <= 13))])
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        # Without punctuation around, unless there is nothing else.
+        inner = np.flatnonzero(~_EDGES[view])
+        first, past = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+        some = past > first
+        starts[some], ends[some] = inner[first[some]], inner[past[some] - 1] + 1
+        self.chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        before = np.concatenate([[0], np.cumsum((view & 0xC0) != 0x80)])
+        over = np.flatnonzero(before[ends] - before[starts] > PIECE)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        if len(over):
+            at = np.flatnonzero((view & 0xC0) != 0x80)  # where each character begins
+            cut = {i: [(int(at[c]), int(at[c + PIECE]) if c + PIECE < before[ends[i]] else int(ends[i])) for c in range(before[starts[i]], max(before[starts[i]] + 1, before[ends[i]] - PIECE // 2), PIECE // 2)] for i in over.tolist()}
+            n = np.ones(len(starts), np.int64)
+            n[over] = [len(cut[i]) for i in over.tolist()]
+            place = np.cumsum(n) - n
+            new = np.repeat(starts, n), np.repeat(ends, n)
+            for i in over.tolist():
+                new[0][place[i] : place[i] + n[i]], new[1][place[i] : place[i] + n[i]] = zip(*cut[i], strict=True)
+            starts, ends = new
+        self.bounds = np.searchsorted(starts, offsets)
+        self.hashes, where, of = np.unique(textscan.run_hashes(view, starts, ends), return_index=True, return_inverse=True)
+        self.of = of.reshape(-1)
+        self.low, self.high = before[starts[where]], before[ends[where]]
+
+    def trigrams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The trigram rows of these distinct words, one after the other, and how many each has: as many as characters."""
+        sizes = self.high[words] - self.low[words]
+        begins = np.cumsum(sizes) - sizes
+        at = np.repeat(self.low[words] - begins, sizes) + np.arange(int(sizes.sum()))
+        y = self.chars[at].astype(np.uint64)
+        x, z = np.roll(y, 1), np.roll(y, -1)
+        x[begins], z[begins + sizes - 1] = 60, 62
+        return _trigram_rows(x, y, z), sizes
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").lower().encode()
 
 
 @dataclass
 class Model:
-    """odds: log-odds of known words; the rest are weights."""
+    """known, odds: hashes of the known words, ascending, and their log-odds; the rest are weights."""
 
-    odds: dict[str, float] = field(default_factory=dict)
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     char_odds: np.ndarray = field(default_factory=lambda: np.zeros(CHAR_ROWS, np.float32))
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     trained: bool = False
@@ -165,60 +222,68 @@ def windows_of(rows: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def _inputs(model: Model, words: list[str]) -> np.ndarray:
-    """(len(words) + 1, DIM); row 0 is for no word."""
-    x = np.zeros((len(words) + 1, DIM), np.float32)
-    for i, w in enumerate(words, 1):
-        grams = trigrams(w)
-        x[i, :WORD_DIM] = model.weights["word"][xxhash.xxh32_intdigest(w) % WORD_ROWS]
-        x[i, WORD_DIM:-2] = model.weights["char"][grams].mean(0)
-        x[i, -2], x[i, -1] = model.odds.get(w, 0.0), model.char_odds[grams].mean()
+def _inputs(model: Model, hashes: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(words + 1, DIM), of words given by hash and trigrams; row 0 is for no word."""
+    x = np.zeros((len(hashes) + 1, DIM), np.float32)
+    if len(hashes):
+        begins = np.cumsum(sizes) - sizes
+        x[1:, :WORD_DIM] = model.weights["word"][(hashes % np.uint64(WORD_ROWS)).astype(np.int64)]
+        x[1:, WORD_DIM:-2] = np.add.reduceat(model.weights["char"][grams], begins) / sizes[:, None]
+        if len(model.known):
+            at = np.minimum(np.searchsorted(model.known, hashes), len(model.known) - 1)
+            x[1:, -2] = np.where(model.known[at] == hashes, model.odds[at], 0)
+        x[1:, -1] = np.add.reduceat(model.char_odds[grams], begins) / sizes
     return x
 
 
 def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """A model of (text, label) rows."""
     model, rng = Model(), np.random.default_rng(seed)
-    texts, labels = [tokens(t) for t, _ in rows], np.array([y for _, y in rows], np.float32)
+    labels = np.array([y for _, y in rows], np.float32)
     if not 0 < labels.sum() < len(labels):
         return model
+    words = Words([_bytes(t) for t, _ in rows])
+    texts = [words.of[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    grams, sizes = words.trigrams(np.arange(len(words.hashes)))
+    begins = np.cumsum(sizes) - sizes
     # Documents that hold a word, by label; the same for trigrams.
-    seen: dict[str, list[int]] = {}
-    grams = np.zeros((2, CHAR_ROWS))
-    for words, y in zip(texts, labels.astype(int), strict=True):
-        own = set(words)
-        for w in own:
-            seen.setdefault(w, [0, 0])[y] += 1
-        grams[y, np.unique([g for w in own for g in trigrams(w)]).astype(int)] += 1
+    seen, held = np.zeros((2, len(words.hashes))), np.zeros((2, CHAR_ROWS))
+
+    def grams_of(own: np.ndarray) -> np.ndarray:
+        return grams[np.repeat(begins[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(int(sizes[own].sum()))]
+
+    for own, y in zip(map(np.unique, texts), labels.astype(int), strict=True):
+        seen[y, own] += 1
+        held[y, np.unique(grams_of(own))] += 1
     n0, n1 = len(labels) - labels.sum(), labels.sum()
-    odds = lambda k1, k0: np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
-    model.odds = {w: float(np.clip(odds(k1, k0), -4, 6)) for w, (k0, k1) in seen.items() if k0 + k1 >= 4}
-    model.char_odds = np.clip(odds(grams[1], grams[0]), -4, 4).astype(np.float32)
+    odds = lambda k: np.log((k[1] + 0.5) / (n1 + 1)) - np.log((k[0] + 0.5) / (n0 + 1))
+    common = seen.sum(0) >= 4
+    model.known, model.odds = words.hashes[common], np.clip(odds(seen[:, common]), -4, 6).astype(np.float32)
+    model.char_odds = np.clip(odds(held), -4, 4).astype(np.float32)
     model.weights = _initial(rng)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.weights.items()}
+    windows = [windows_of(own + 1) for own in texts]
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for low in range(0, len(order), BATCH):
             own = order[low : low + BATCH]
-            known: dict[str, int] = {}
-            parts = [windows_of(np.array([known.setdefault(w, len(known) + 1) for w in texts[i]], np.int64)) for i in own]
-            words = list(known)
-            x = _inputs(model, words)
+            used, at = np.unique(np.concatenate([np.zeros(1, np.int64), *(windows[i].ravel() for i in own)]), return_inverse=True)
+            at, used = at.reshape(-1)[1:].reshape(-1, WINDOW), used[1:] - 1  # row 0 stays for no word
+            x = _inputs(model, words.hashes[used], grams_of(used), sizes[used])
             net = Network(model.weights)
             both = net.projected(x)
-            every = net.run(both, np.concatenate(parts))
-            ends = np.cumsum([0, *map(len, parts)])
-            top = np.stack([parts[k][int(np.argmax(every[ends[k] : ends[k + 1]]))] for k in range(len(own))])
+            every = np.concatenate([net.run(both, at[k : k + RUN]) for k in range(0, len(at), RUN)])
+            ends = np.cumsum([0, *(len(windows[i]) for i in own)])
+            top = np.stack([at[a + int(np.argmax(every[a:b]))] for a, b in zip(ends[:-1], ends[1:], strict=True)])
             logit, saved = net.run(both, top, keep=True)
             d_logit = ((_sigmoid(logit) - labels[own]) / len(own)).astype(np.float32)
             g, d_x = net.gradients(x, both, top, saved, d_logit)
             g["word"], g["char"] = np.zeros_like(model.weights["word"]), np.zeros_like(model.weights["char"])
-            used = np.flatnonzero(np.abs(d_x).sum(1))
-            for i in used[used > 0]:
-                w, gr = words[i - 1], trigrams(words[i - 1])
-                g["word"][xxhash.xxh32_intdigest(w) % WORD_ROWS] += d_x[i, :WORD_DIM]
-                np.add.at(g["char"], gr, d_x[i, WORD_DIM:-2] / len(gr))
+            moved = np.flatnonzero(np.abs(d_x[1:]).sum(1))
+            np.add.at(g["word"], (words.hashes[used[moved]] % np.uint64(WORD_ROWS)).astype(np.int64), d_x[1:][moved, :WORD_DIM])
+            n = sizes[used[moved]]
+            np.add.at(g["char"], grams_of(used[moved]), np.repeat(d_x[1:][moved, WORD_DIM:-2] / n[:, None], n, axis=0))
             step += 1
             for k, v in g.items():
                 m1, m2 = moments[k]
@@ -230,57 +295,78 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
 
 
 class Scorer:
-    """Scores texts. The gates' inputs are kept for words met before."""
+    """Scores texts. The gates' inputs are kept for words met before, up to MEMORY of them."""
 
     def __init__(self, model: Model):
         self.model, self.net = model, Network(model.weights) if model.trained else None
-        self.rows: dict[str, int] = {}
-        self.tables: list[np.ndarray] = []
-
-    def _project(self, words: list[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.rows]
-        x = _inputs(self.model, fresh)
-        made = self.net.projected(x)
-        self.tables = list(made) if not self.tables else [np.concatenate([t, m[1:]]) for t, m in zip(self.tables, made, strict=True)]
-        for w in fresh:
-            self.rows[w] = len(self.rows) + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if self.net is not None:
+            self.tables = self.net.projected(np.zeros((1, DIM), np.float32))
+
+    def _rows(self, words: Words) -> np.ndarray:
+        """Where the tables have each distinct word."""
+        if len(self.hashes) > MEMORY:
+            self.forget()
+        place = np.searchsorted(self.hashes, words.hashes)
+        known = np.zeros(len(place), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == words.hashes
+        fresh = np.flatnonzero(~known)
+        out = np.zeros(len(place), np.int64)
+        out[known] = self.rows[place[known]]
+        out[fresh] = len(self.tables[0]) + np.arange(len(fresh))
+        made = self.net.projected(_inputs(self.model, words.hashes[fresh], *words.trigrams(fresh)))
+        self.tables = tuple(np.concatenate([t, m[1:]]) for t, m in zip(self.tables, made, strict=True))
+        self.hashes, self.rows = np.insert(self.hashes, place[fresh], words.hashes[fresh]), np.insert(self.rows, place[fresh], out[fresh])
+        return out
 
     def score(self, texts: list[str | None]) -> list[float]:
         if self.net is None:
             return [0.0] * len(texts)
-        best = np.full(len(texts), -np.inf)
-        at, of, held = [], [], 0
-
-        def run() -> None:
-            nonlocal at, of, held
-            if at:
-                logit = self.net.run((self.tables[0], self.tables[1]), np.concatenate(at))
-                np.maximum.at(best, np.concatenate(of), logit)
-            at, of, held = [], [], 0
-            if len(self.rows) > MEMORY:
-                self.rows, self.tables = {}, []
-
-        i = 0
-        while i < len(texts):
-            # Words of some texts at a time are projected together.
-            block, n = [], 0
-            while i + len(block) < len(texts) and n < 30_000:
-                block.append(tokens(texts[i + len(block)]))
-                n += len(block[-1])
-            self._project([w for words in block for w in words])
-            for k, words in enumerate(block):
-                own = windows_of(np.fromiter((self.rows[w] for w in words), np.int64, len(words)))
-                for low in range(0, len(own), 4096):
-                    at.append(own[low : low + 4096])
-                    of.append(np.full(len(at[-1]), i + k))
-                    held += len(at[-1])
-                    if held >= 4096:
-                        logit = self.net.run((self.tables[0], self.tables[1]), np.concatenate(at))
-                        np.maximum.at(best, np.concatenate(of), logit)
-                        at, of, held = [], [], 0
-            i += len(block)
-            run()
-        return _sigmoid(best).tolist()
+        best = np.full(len(texts), -np.inf, np.float32)
+        low = 0
+        while low < len(texts):
+            own, held = [], 0
+            while low + len(own) < len(texts) and held < textscan.GROUP // 2:
+                own.append(_bytes(texts[low + len(own)]))
+                held += len(own[-1])
+            self._block(own, best[low : low + len(own)])
+            low += len(own)
+        return _sigmoid(best.astype(np.float64)).tolist()
+
+    def _block(self, texts: list[bytes], best: np.ndarray) -> None:
+        if len(texts) == 1 and len(texts[0]) > 2 * textscan.GROUP:
+            best[0] = self._long(texts[0])
+            return
+        words = Words(texts)
+        rows = self._rows(words)[words.of]
+        parts = [windows_of(rows[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        for k, logits in self._logits(np.concatenate(parts)):
+            np.maximum.at(best, of[k : k + RUN], logits)
+
+    def _logits(self, windows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(0, len(windows), RUN):
+            yield k, self.net.run(self.tables, windows[k : k + RUN])
+
+    def _long(self, text: bytes) -> float:
+        """A long text's highest logit, from its pieces. What stands behind a piece's last whole window goes along to the next."""
+        carried, best = [t[:0] for t in self.tables], -np.inf
+        for a, b in textscan.pieces(np.frombuffer(text, np.uint8), 0, len(text)):
+            words = Words([text[a:b]])
+            rows = self._rows(words)[words.of]
+            rows = np.concatenate([len(self.tables[0]) + np.arange(len(carried[0])), rows])
+            self.tables = tuple(np.concatenate(pair) for pair in zip(self.tables, carried, strict=True))
+            whole = max(0, (len(rows) - WINDOW) // STRIDE + 1) if b < len(text) else None
+            if whole is None and best > -np.inf and len(rows) <= WINDOW - STRIDE:
+                break  # windows before have them
+            windows = windows_of(rows)[:whole]
+            best = max([best, *(float(x.max()) for _, x in self._logits(windows))])
+            carried = [t[rows[(whole or 0) * STRIDE :]] for t in self.tables]
+        return best
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model:

@@ -10,7 +10,7 @@ sample (max_docs, taken by a hash of the id and in equal parts from either label
 the driver; scoring covers all documents. The seed is fixed, so reruns agree.
 
 Defined results: null and empty texts have one window without words, whose score is the network's for no word.
-Rows with a null label or id teach nothing. Without rows of both labels every score is 0. Repeated rows are scored each.
+Rows with a null label or id teach nothing; of rows that repeat an id the smallest text teaches. Without rows of both labels every score is 0. Repeated rows are scored each.
 An empty table gives none.
 """
 
@@ -236,18 +236,36 @@ def _inputs(model: Model, hashes: np.ndarray, grams: np.ndarray, sizes: np.ndarr
     return x
 
 
+def _vocabulary(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashes of the distinct words, all trigrams, where each word's begin and how many they are, and the texts' words as
+    numbers of the hashes. Texts are scanned some at a time."""
+    parts, own, held = [], [], 0
+    for k, text in enumerate(texts):
+        own.append(_bytes(text))
+        held += len(own[-1])
+        if held > textscan.GROUP // 2 or k == len(texts) - 1:
+            words = Words(own)
+            parts.append((words.hashes, *words.trigrams(np.arange(len(words.hashes))), words.of, words.bounds))
+            own, held = [], 0
+    hashes, first, number = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    grams, sizes = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    out, base = [], 0
+    for p in parts:
+        numbered = number.reshape(-1)[base + p[3]]
+        out += [numbered[a:b] for a, b in zip(p[4][:-1], p[4][1:], strict=True)]
+        base += len(p[0])
+    return hashes, grams, (np.cumsum(sizes) - sizes)[first], sizes[first], out
+
+
 def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """A model of (text, label) rows."""
     model, rng = Model(), np.random.default_rng(seed)
     labels = np.array([y for _, y in rows], np.float32)
     if not 0 < labels.sum() < len(labels):
         return model
-    words = Words([_bytes(t) for t, _ in rows])
-    texts = [words.of[a:b] for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-    grams, sizes = words.trigrams(np.arange(len(words.hashes)))
-    begins = np.cumsum(sizes) - sizes
+    hashes, grams, begins, sizes, texts = _vocabulary([t for t, _ in rows])
     # Documents that hold a word, by label; the same for trigrams.
-    seen, held = np.zeros((2, len(words.hashes))), np.zeros((2, CHAR_ROWS))
+    seen, held = np.zeros((2, len(hashes))), np.zeros((2, CHAR_ROWS))
 
     def grams_of(own: np.ndarray) -> np.ndarray:
         return grams[np.repeat(begins[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(int(sizes[own].sum()))]
@@ -258,7 +276,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
     n0, n1 = len(labels) - labels.sum(), labels.sum()
     odds = lambda k: np.log((k[1] + 0.5) / (n1 + 1)) - np.log((k[0] + 0.5) / (n0 + 1))
     common = seen.sum(0) >= 4
-    model.known, model.odds = words.hashes[common], np.clip(odds(seen[:, common]), -4, 6).astype(np.float32)
+    model.known, model.odds = hashes[common], np.clip(odds(seen[:, common]), -4, 6).astype(np.float32)
     model.char_odds = np.clip(odds(held), -4, 4).astype(np.float32)
     model.weights = _initial(rng)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.weights.items()}
@@ -270,7 +288,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
             own = order[low : low + BATCH]
             used, at = np.unique(np.concatenate([np.zeros(1, np.int64), *(windows[i].ravel() for i in own)]), return_inverse=True)
             at, used = at.reshape(-1)[1:].reshape(-1, WINDOW), used[1:] - 1  # row 0 stays for no word
-            x = _inputs(model, words.hashes[used], grams_of(used), sizes[used])
+            x = _inputs(model, hashes[used], grams_of(used), sizes[used])
             net = Network(model.weights)
             both = net.projected(x)
             every = np.concatenate([net.run(both, at[k : k + RUN]) for k in range(0, len(at), RUN)])
@@ -281,7 +299,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int =
             g, d_x = net.gradients(x, both, top, saved, d_logit)
             g["word"], g["char"] = np.zeros_like(model.weights["word"]), np.zeros_like(model.weights["char"])
             moved = np.flatnonzero(np.abs(d_x[1:]).sum(1))
-            np.add.at(g["word"], (words.hashes[used[moved]] % np.uint64(WORD_ROWS)).astype(np.int64), d_x[1:][moved, :WORD_DIM])
+            np.add.at(g["word"], (hashes[used[moved]] % np.uint64(WORD_ROWS)).astype(np.int64), d_x[1:][moved, :WORD_DIM])
             n = sizes[used[moved]]
             np.add.at(g["char"], grams_of(used[moved]), np.repeat(d_x[1:][moved, WORD_DIM:-2] / n[:, None], n, axis=0))
             step += 1
@@ -376,7 +394,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # The two samples are bounded by the parameter, so they may be gathered and broadcast.
     some = [labels.where(F.col("_y") == y).dropDuplicates(["_id"]).orderBy(order).limit(max_docs // 2) for y in (0, 1)]
     chosen = some[0].unionAll(some[1])
-    rows = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_y").collect()
+    rows = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_y").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
     return train([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_y"], r["_text"] or ""))])
 
 

@@ -11,7 +11,7 @@ from . import sources
 from .graph import Graph
 from .operators import generators as gen
 from .operators import transforms, weights
-from .spec import Spec, normalized, parse
+from .spec import MODELS, Spec, normalized, parse
 
 
 def generate(spark: SparkSession, options: str | Spec) -> Graph:
@@ -40,6 +40,30 @@ def generate(spark: SparkSession, options: str | Spec) -> Graph:
     return replace(g, edges=e, points=points)
 
 
+def describe(options: str | Spec) -> Spec:
+    """The specification with what is deduced: all that a generation depends on."""
+    return normalized(parse(options) if isinstance(options, str) else options)
+
+
+class Generators:
+    """A method for each model: Generators(spark, seed=3).gnm_undirected(n=100, m=400). Options given here hold for all calls."""
+
+    def __init__(self, spark: SparkSession, **options: object):
+        self.spark, self.options = spark, options
+
+    def __getattr__(self, model: str):
+        if model not in MODELS:
+            raise AttributeError(model)
+        said = lambda options: ";".join([model, *[f"{k}={int(v) if isinstance(v, bool) else v}" for k, v in options.items()]])
+        return lambda **options: generate(self.spark, said(self.options | options))
+
+    def from_options(self, options: str) -> Graph:
+        return generate(self.spark, options)
+
+    def read(self, path: str, input_format: str | None = None) -> Graph:
+        return sources.read_graph(self.spark, path, input_format)
+
+
 def _distance(s: Spec) -> tuple[int, int] | None:
     return (s.edgeweights_range_begin, s.edgeweights_range_end) if s.edgeweights_generator == "euclidean_distance" else None
 

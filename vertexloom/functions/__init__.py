@@ -47,12 +47,22 @@ def divided(a: Column, b: Column, default: float) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(default))
 
 
+def div(a: Column, k: int | Column) -> Column:
+    """a div k in longs, exact where a floating quotient is not (from 2^53)."""
+    return F.call_function("div", a.cast("long"), (k if isinstance(k, Column) else F.lit(k)).cast("long"))
+
+
+def below(row: Column) -> Column:
+    """How many cells below the diagonal stand before a row: row (row - 1) / 2, without a product that overflows."""
+    return F.shiftright(row, 1) * (row - 1 + row.bitwiseAND(F.lit(1)))
+
+
 def from_triangle(k: Column) -> tuple[Column, Column]:
-    """(row, column), column < row, of the k-th cell below the diagonal; the root is corrected where it is off by one."""
+    """(row, column), column < row, of the k-th cell below the diagonal, k below 2^62. The floating root is off by one at
+    most and corrected in longs."""
     guess = F.floor((F.sqrt(8.0 * k + 1) + 1) / 2).cast("long")
-    below = lambda r: (r * (r - 1)) / 2
     row = F.when(below(guess) > k, guess - 1).when(below(guess + 1) <= k, guess + 1).otherwise(guess)
-    return row, (k - (row * (row - 1) / 2)).cast("long")
+    return row, k - below(row)
 
 
 def newton(f: Callable[[float], float], df: Callable[[float], float], x: float, steps: int = 100, tolerance: float = 1e-12) -> float:
@@ -68,7 +78,8 @@ def newton(f: Callable[[float], float], df: Callable[[float], float], x: float,
 
 
 def hyperbolic_radius(n: int, degree: float, gamma: float) -> float:
-    """The disk's radius at which n vertices have an expected degree, by bisection on its closed form."""
+    """The disk's radius at which n vertices have an expected degree, by bisection on the closed form of Krioukov et al.,
+    "Hyperbolic geometry of complex networks" (2010)."""
     alpha = (gamma - 1) / 2
     xi = alpha / (alpha - 0.5)
 

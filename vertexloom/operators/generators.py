@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import from_triangle, squared_distance
+from ..functions import div, from_triangle, squared_distance
 from ..graph import Graph
 from ..hashing import bits52, uniform
 from ..permutation import permuted
@@ -132,7 +132,7 @@ def rhg(spark: SparkSession, n: int, gamma: float, radius: float, seed: int = 1,
     return Graph(both_ways(e), n, pts.select("id", (F.col("r") * F.cos("phi")).alias("x"), (F.col("r") * F.sin("phi")).alias("y")))
 
 
-def ba(spark: SparkSession, n: int, d: int, seed: int = 1, directed: bool = False) -> Graph:
+def ba(spark: SparkSession, n: int, d: int, seed: int = 1, directed: bool = False, family: str = "native") -> Graph:
     """Preferential attachment: slot v d + i of vertex v copies the end of a random earlier half-edge; the chain of copies is walked
     row by row. A half-edge's draw depends on its number alone, so no row waits for another."""
     ship(spark)
@@ -143,16 +143,25 @@ def ba(spark: SparkSession, n: int, d: int, seed: int = 1, directed: bool = Fals
             r = 2 * slot + 1
             open_ = np.ones(len(r), bool)
             while open_.any():
-                r[open_] = _draws(r[open_], seed)
+                r[open_] = draws(r[open_], seed)
                 open_ &= r % 2 == 1
             yield pa.RecordBatch.from_arrays([pa.array(slot // d), pa.array(r // (2 * d))], names=["src", "dst"])
 
+    draws = _draws if family == "portable" else _mixed_draws
     e = spark.range(n * d).mapInArrow(run, "src long, dst long")
     return Graph(dedupe(e) if directed else symmetrize(e, keep_loops=True), n, directed=directed)
 
 
+def _mixed_draws(r: np.ndarray, seed: int) -> np.ndarray:
+    """A number below each r, by a 64-bit mix: uniform however large r is."""
+    h = r.astype(np.uint64) + np.uint64(((seed + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) % r.astype(np.uint64)).astype(np.int64)
+
+
 def _draws(r: np.ndarray, seed: int) -> np.ndarray:
-    """A number below each r: the Lehmer step that SQL can repeat."""
+    """A number below each r: the Lehmer step that SQL can repeat; for r below 2^31."""
     h = ((r + seed) % 2147483647 * 48271 + 11) % 2147483647
     h = (h * 69621 + 7) % 2147483647
     return h % r
@@ -163,7 +172,7 @@ def lattice(spark: SparkSession, sides: tuple[int, ...], p: float = 1.0, periodi
     n, id_ = math.prod(sides), F.col("id")
     steps, stride = [], 1
     for k in sides:
-        at = F.pmod(F.floor(id_ / stride), F.lit(k))
+        at = F.pmod(div(id_, stride), F.lit(k))
         if k > 1:
             steps.append(F.when(at < k - 1, id_ + stride))
             if periodic and k > 2:
@@ -174,7 +183,7 @@ def lattice(spark: SparkSession, sides: tuple[int, ...], p: float = 1.0, periodi
         rows = rows.where(uniform(seed, F.least("src", "dst"), F.greatest("src", "dst"), family=family) < p)
     stride, coordinates = 1, []
     for name, k in zip("xyz", sides, strict=False):
-        coordinates.append((F.pmod(F.floor(id_ / stride), F.lit(k)) / F.lit(float(k))).alias(name))
+        coordinates.append((F.pmod(div(id_, stride), F.lit(k)) / F.lit(float(k))).alias(name))
         stride *= k
     return Graph(both_ways(rows), n, spark.range(n).select("id", *coordinates))
 
@@ -236,15 +245,16 @@ def image_weight(model: str, a: list[Column], b: list[Column]) -> Column:
 
 
 def image_mesh(pixels: DataFrame, columns: int, rows: int, model: str = "ratio", multiplier: float = 255.0, offset: float = 0.0, low: float = 1.0, high: float = math.inf, neighborhood: int = 4) -> Graph:
-    """pixels (row, col, r, g, b): links of neighbours whose weight, floor(model * multiplier + offset), lies in [low, high]."""
+    """pixels (row, col, r, g, b): links of neighbours whose weight, model * multiplier + offset, lies in [low, high]; it is floored then."""
     channels = ["r", "g", "b"]
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _offsets(neighborhood)]))
     a = pixels.select((F.col("row") * columns + F.col("col")).alias("src"), "row", "col", *[F.col(c).cast("double").alias(f"a_{c}") for c in channels], shift.alias("s"))
     a = a.select("src", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), *[f"a_{c}" for c in channels])
     b = pixels.select("row", "col", (F.col("row") * columns + F.col("col")).alias("dst"), *[F.col(c).cast("double").alias(f"b_{c}") for c in channels])
     w = image_weight(model, [F.col(f"a_{c}") for c in channels], [F.col(f"b_{c}") for c in channels]) * multiplier + offset
-    e = a.join(b, ["row", "col"]).select("src", "dst", F.floor(w).cast("long").alias("weight")).where(F.col("weight") >= low)
+    e = a.join(b, ["row", "col"]).select("src", "dst", w.alias("weight")).where(F.col("weight") >= low)
     e = e if math.isinf(high) else e.where(F.col("weight") <= high)
+    e = e.withColumn("weight", F.floor("weight").cast("long"))
     return Graph(both_ways(e), columns * rows)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import div
+
 
 def reversed_edges(e: DataFrame) -> DataFrame:
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in e.columns if c not in ("src", "dst")])
@@ -51,7 +53,7 @@ BLOCK = 1 << 16
 def running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the sum of value over the rows before in order. Blocks of ids are summed first, the sums of blocks run
     over by one small window, and each block by its own."""
-    blocked = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    blocked = df.withColumn("_block", div(F.col(order), BLOCK))
     sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
@@ -70,7 +72,7 @@ def owner(v: Column, n: int, parts: int) -> Column:
     """The part that owns vertex v when n ids are cut into consecutive ranges, the first n mod parts of them one longer; -1: none."""
     q, r = divmod(n, parts)
     big = r * (q + 1)
-    own = F.when(v < big, F.floor(v / F.lit(q + 1))).otherwise(r + F.floor((v - big) / F.lit(max(1, q)))).cast("int")
+    own = F.when(v < big, div(v, q + 1)).otherwise(r + div(v - big, max(1, q))).cast("int")
     return F.when((v >= 0) & (v < n), own).otherwise(-1)
 
 
@@ -83,7 +85,7 @@ def balanced_ranges(spark, n: int, parts: int) -> DataFrame:
 def round_robin(e: DataFrame, n: int, parts: int) -> DataFrame:
     """Relabels id to the (id div parts)-th vertex of part id mod parts."""
     q, r = divmod(n, parts)
-    new = lambda c: (F.pmod(F.col(c), F.lit(parts)) * q + F.least(F.pmod(F.col(c), F.lit(parts)), F.lit(r)) + F.floor(F.col(c) / parts)).cast("long").alias(c)
+    new = lambda c: (F.pmod(F.col(c), F.lit(parts)) * q + F.least(F.pmod(F.col(c), F.lit(parts)), F.lit(r)) + div(F.col(c), parts)).cast("long").alias(c)
     return e.select(new("src"), new("dst"), *[c for c in e.columns if c not in ("src", "dst")])
 
 
@@ -94,9 +96,9 @@ def edge_owners(e: DataFrame, n: int, parts: int) -> DataFrame:
     rows = spark.range(n).join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
     rows = running(rows, "id", "degree", "_before")
     total = rows.agg(F.sum("degree").alias("_m"))
-    size = F.greatest(F.lit(1), F.ceil(F.col("_m") / parts))
+    size = F.greatest(F.lit(1), div(F.col("_m") + parts - 1, parts))
     rows = rows.join(F.broadcast(total))  # one row
-    return rows.select("id", "degree", F.greatest(F.lit(0), F.ceil((F.col("_before") + F.col("degree")) / size) - 1).cast("int").alias("pe"))
+    return rows.select("id", "degree", F.greatest(F.lit(0), div(F.col("_before") + F.col("degree") + size - 1, size) - 1).cast("int").alias("pe"))
 
 
 def edge_balanced_ranges(e: DataFrame, n: int, parts: int) -> DataFrame:

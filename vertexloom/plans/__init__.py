@@ -6,12 +6,14 @@ The graphs come from the driver's tables: parts and suppliers (part_supp), custo
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bit_length
+from .. import sources, tools
+from ..functions import below, bit_length, from_triangle
+from ..graph import Graph
 from ..hashing import bits52, sql_bits52, sql_uniform, uniform
 from ..operators import generators as gen
 from ..operators import stats, transforms, validate, weights
@@ -214,7 +216,7 @@ _RHG_R, _RHG_A = 9.5, 0.75
 query("rhg", lambda s, d: gen.rhg(s, 500, 2.5, _RHG_R, 11, "portable").edges, f"""WITH p AS (SELECT range AS id, 6.283185307179586 * {sql_uniform(11, 'range', "'phi'")} AS phi, acosh(1 + {sql_uniform(11, 'range', "'r'")} * (cosh({_RHG_A * _RHG_R}::DOUBLE) - 1)) / {_RHG_A} AS r FROM range(500)),
     h AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON a.id < b.id WHERE cosh(a.r) * cosh(b.r) - sinh(a.r) * sinh(b.r) * cos(a.phi - b.phi) <= cosh({_RHG_R}::DOUBLE)) SELECT src, dst FROM h UNION ALL SELECT dst, src FROM h""")
 _DRAW = "(((({0} + 2) % 2147483647 * 48271 + 11) % 2147483647 * 69621 + 7) % 2147483647) % {0}"
-query("ba", lambda s, d: gen.ba(s, 300, 3, 2).edges, f"""WITH RECURSIVE w AS (SELECT range AS slot, (2 * range + 1)::BIGINT AS r FROM range(900) UNION ALL SELECT slot, ({_DRAW.format('r')})::BIGINT FROM w WHERE r % 2 = 1),
+query("ba", lambda s, d: gen.ba(s, 300, 3, 2, family="portable").edges, f"""WITH RECURSIVE w AS (SELECT range AS slot, (2 * range + 1)::BIGINT AS r FROM range(900) UNION ALL SELECT slot, ({_DRAW.format('r')})::BIGINT FROM w WHERE r % 2 = 1),
     e AS (SELECT slot // 3 AS src, r // 6 AS dst FROM w WHERE r % 2 = 0) SELECT src, dst FROM e UNION SELECT dst, src FROM e""")
 query("rdg2d", lambda s, d: gen.rdg2d(s, 40, 3, "portable").edges, f"""WITH p AS ({_points(40, 2, 3)}), t AS (SELECT a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy,
     2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d FROM p a, p b, p c WHERE a.id < b.id AND b.id < c.id),
@@ -245,3 +247,64 @@ for _k, _m in ((4, "l2"), (8, "inv-ratio"), (20, "l2"), (24, "l2")):
 query("scalars", lambda s, d: s.range(1, N).select("id", bit_length(F.col("id")).cast("int").alias("bits"), uniform(1, F.col("id"), family="portable").alias("u"), *[c.alias(k) for c, k in zip(gen.from_triangle(F.col("id")), ("row", "col"), strict=True)]),
       f"WITH t AS (SELECT row_number() OVER (ORDER BY a.range, b.range) - 1 AS id, a.range AS row, b.range AS col FROM range(80) a, range(80) b WHERE a.range > b.range) SELECT id, {_BITS.format('id')}::INT AS bits, {sql_uniform(1, 'id')} AS u, row, col FROM t WHERE id BETWEEN 1 AND {N - 1}")
 query("cust_order_stars", lambda s, d: stats.degree_bins(transforms.symmetrize(cust_order(s, d))), f"WITH e AS (SELECT o_custkey AS src, o_orderkey + {OFF} AS dst FROM orders), g AS ({_SYM}), d AS (SELECT src, count(*) AS c FROM g GROUP BY src) SELECT {_BITS.format('c')}::INT AS bin, count(*) AS vertices FROM d GROUP BY ALL")
+
+
+# What the queries above run of the generators is the portable family, which SQL can repeat; these run the native one, at
+# sizes where ids and cells pass 2^31 and 2^53, and hold its graphs to their properties.
+
+
+def properties(edges: DataFrame, n: int, undirected: bool) -> DataFrame:
+    """A row: whether edges are distinct, inside [0, n), without loops and, if undirected, both ways; their number; and whether
+    the ends are spread evenly over n and over odd and even."""
+    ways = validate.missing_reverse(edges).agg(F.count(F.lit(1)).alias("one_way")) if undirected else edges.sparkSession.range(1).select(F.lit(0).cast("long").alias("one_way"))
+    half, odd = F.avg(F.col("dst") / F.lit(float(n))), F.avg(F.pmod(F.col("dst"), F.lit(2)))
+    row = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).agg(
+        F.sum("times").cast("long").alias("edges"), F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("src") == F.col("dst"), 1).otherwise(0)).cast("long").alias("loops"),
+        F.sum(F.when((F.col("src") < 0) | (F.col("dst") < 0) | (F.col("src") >= n) | (F.col("dst") >= n), 1).otherwise(0)).cast("long").alias("outside"),
+        (F.abs(odd - 0.5) < 0.05).alias("even_parity"), (F.abs(half - 0.5) < 0.05).alias("even_spread"),
+    )
+    return row.crossJoin(F.broadcast(ways))  # one row each
+
+
+def _property_sql(edges: str) -> str:
+    return f"SELECT ({edges})::BIGINT AS edges, ({edges})::BIGINT AS pairs, 0::BIGINT AS loops, 0::BIGINT AS outside, true AS even_parity, true AS even_spread, 0::BIGINT AS one_way"
+
+
+query("native_gnm_undirected", lambda s, d: properties(gen.gnm(s, 1 << 31, 20_000, 5).edges, 1 << 31, True), _property_sql("40000"))
+query("native_gnm_directed", lambda s, d: properties(gen.gnm(s, (1 << 31) - 1, 20_000, 5, directed=True).edges, (1 << 31) - 1, False), _property_sql("20000"))
+query("native_path", lambda s, d: properties(gen.path(s, 20_001, permute_seed=3).edges, 20_001, False), _property_sql("20000"))
+query("native_grid2d", lambda s, d: properties(gen.lattice(s, (120, 170)).edges, 120 * 170, True), _property_sql("2 * (119 * 170 + 120 * 169)"))
+query("native_gnp", lambda s, d: properties(gen.gnp(s, 1 << 31, 1e-14, 5).edges, 1 << 31, True).select(F.col("edges") == F.col("pairs"), "loops", "outside", "one_way", (F.abs(F.col("edges") - 46_117) < 1_300).alias("near_mean")).toDF("distinct_pairs", "loops", "outside", "one_way", "near_mean"), "SELECT true AS distinct_pairs, 0::BIGINT AS loops, 0::BIGINT AS outside, 0::BIGINT AS one_way, true AS near_mean")
+query("native_ba", lambda s, d: stats.degrees(gen.ba(s, 30_000, 4, 7, directed=True).edges, 30_000).agg((F.max("degree") <= 4).alias("at_most_d"), (F.avg("degree") > 3.9).alias("mostly_d")), "SELECT true AS at_most_d, true AS mostly_d")
+query("triangle_cells", lambda s, d: _cells(s), "SELECT 60001::BIGINT AS cells, 60001::BIGINT AS pairs, 60001::BIGINT AS restored")
+
+
+def _cells(spark: SparkSession) -> DataFrame:
+    """Cells of the triangle at its begin, about 2^53 and below 2^62: each has a pair of its own, whose number it is."""
+    begins = [0, (1 << 53) - 10_000, (1 << 54), (1 << 61) - 1, (1 << 61) + (1 << 60), (1 << 62) - 10_001]
+    k = reduce(DataFrame.unionAll, [spark.range(b, b + 10_000 + (b == 0)) for b in begins]).withColumnRenamed("id", "k")
+    row, col = from_triangle(F.col("k"))
+    pairs = k.select("k", row.alias("r"), col.alias("c")).where("c >= 0 and c < r")
+    whole = pairs.withColumn("again", below(F.col("r")) + F.col("c"))
+    return whole.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("r", "c").alias("pairs"), F.sum(F.when(F.col("again") == F.col("k"), 1).otherwise(0)).cast("long").alias("restored"))
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> Graph:
+    g = Graph(part_mod(spark, sf_dir).withColumn("weight", F.lit(1).cast("long")), N, directed=True)
+    return tools.converted(g, drop_weights=True, add_reverse=True, drop_loops=True, sort=True, degree_weights=True, isolated=7)
+
+
+query("convert_edges", lambda s, d: _converted(s, d).edges, f"WITH e AS ({_PM}) {_SYM}")
+query("convert_vertices", lambda s, d: _converted(s, d).points, f"WITH e AS ({_PM}), s AS ({_SYM}) SELECT range AS id, CASE WHEN count(src) = 0 THEN 7 ELSE count(src) END::BIGINT AS weight FROM range({N}) LEFT JOIN s ON range = src GROUP BY 1")
+query("graph_statistics", lambda s, d: tools.statistics(_converted(s, d)).select("n", "m", "edge_weights", "vertex_weights", F.posexplode("bins").alias("bin", "vertices")).where("vertices > 0"), f"""WITH e AS ({_PM}), s AS ({_SYM}), d AS (SELECT range AS id, count(src) AS degree FROM range({N}) LEFT JOIN s ON range = src GROUP BY 1)
+SELECT {N}::BIGINT AS n, (SELECT count(*) FROM s) AS m, 0 AS edge_weights, 1 AS vertex_weights, CASE WHEN degree = 0 THEN 0 ELSE floor(log2(degree))::INT + 1 END AS bin, count(*) AS vertices FROM d GROUP BY ALL""")
+query("graph_check", lambda s, d: tools.checked(_converted(s, d)), "SELECT unnest(['outside', 'loops', 'duplicates', 'missing_reverse', 'beyond_32_bits', 'vertex_weights']) AS rule, 0::BIGINT AS broken")
+_NETS = f"WITH e AS ({_PM}), s AS (SELECT * FROM ({_SYM}) WHERE src < 300 AND dst < 300), k AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS k FROM s WHERE src < dst)"
+query("freight_netl", lambda s, d: _netl(s, d, "freight-netl"), f"""{_NETS} SELECT range AS a, concat_ws(' ', '1', string_agg(k.k || ' 1', ' ' ORDER BY s.dst)) AS value FROM range(300) LEFT JOIN s ON range = s.src LEFT JOIN k ON least(s.src, s.dst) = k.src AND greatest(s.src, s.dst) = k.dst GROUP BY 1
+UNION ALL SELECT -1, '300 ' || (SELECT count(*) FROM s) // 2 || ' 11'""")
+query("freight_netl_ep", lambda s, d: _netl(s, d, "freight-netl-ep"), f"{_NETS} SELECT src AS a, '1 ' || src || ' 1 ' || dst || ' 1' AS value FROM k UNION ALL SELECT -1, (SELECT count(*) FROM k) || ' 300 11'")
+
+
+def _netl(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    e = transforms.symmetrize(part_mod(spark, sf_dir)).where("src < 300 and dst < 300")
+    return sources.lines_of(Graph(e, 300), fmt).toDF("a", "b", "value").select("a", "value")

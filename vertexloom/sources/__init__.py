@@ -161,6 +161,12 @@ def _adjacency(g: Graph) -> DataFrame:
     return rows.select("id", F.trim(F.concat_ws(" ", *[F.col("weight").cast("string")] if own else [], F.coalesce("_l", F.lit("")))).alias("value"))
 
 
+def _nets(pairs: DataFrame) -> DataFrame:
+    """Edges with k, their number from 1 in the order of (src, dst)."""
+    numbered = running(pairs.withColumn("_one", F.lit(1)), "src", "_one", "_k")
+    return numbered.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst")) + F.min("_k").over(Window.partitionBy("src"))).drop("_one", "_k")
+
+
 def lines_of(g: Graph, fmt: str) -> DataFrame:
     """k, value: the lines of a text format; k orders them, the header first."""
     spark, e = g.edges.sparkSession, g.edges
@@ -176,22 +182,33 @@ def lines_of(g: Graph, fmt: str) -> DataFrame:
     code = f"{int(own)}{int(w)}"
     if fmt == "metis":
         return head(f"{g.n} {m // 2}" + (f" {code}" if own or w else "")).unionAll(_adjacency(g).select("id", F.lit(0).cast("long"), "value"))
-    if fmt in ("hmetis", "hmetis-directed", "freight-netl-ep"):
+    if fmt == "freight-netl-ep":
+        # Nets first, ids from 0, a weight of one after each; loops and weights have no place in it.
+        kept = e.where("src < dst")
+        return head(f"{kept.count()} {g.n} 11").unionAll(kept.select("src", "dst", F.format_string("1 %d 1 %d 1", "src", "dst")))
+    if fmt == "freight-netl":
+        # A vertex's weight, then its nets in the order of its neighbours, each with its weight. Nets are numbered as their edges come.
+        nets = _nets(e.where("src <= dst").select("src", "dst").distinct()).select(F.col("src").alias("_u"), F.col("dst").alias("_v"), "k")
+        met = e.join(nets, (F.least("src", "dst") == F.col("_u")) & (F.greatest("src", "dst") == F.col("_v")))
+        said = F.concat_ws(" ", F.col("k").cast("string"), (F.col("weight") if w else F.lit(1)).cast("string"))
+        lists = met.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst", said.alias("x")))), lambda x: x["x"]), " ").alias("_l"))
+        first = F.col("weight").cast("string") if own else F.lit("1")
+        return head(f"{g.n} {m // 2} 11").unionAll(g.vertices.join(lists, "id", "left").select("id", F.lit(0).cast("long"), F.concat_ws(" ", first, "_l")))
+    if fmt in ("hmetis", "hmetis-directed"):
         kept = e if fmt.endswith("directed") else e.where("src < dst")
         pins = F.concat_ws(" ", *[F.col("weight").cast("string")] if w else [], (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string"))
         body = kept.select("src", "dst", pins)
         if own:
             body = body.unionAll(g.points.select(F.lit(1 << 62).cast("long"), "id", F.col("weight").cast("string")))
-        return head(f"{kept.count()} {g.n}" + (f" {code}" if own or w else "")).unionAll(body)
-    if fmt in ("hmetis-ep", "freight-netl"):
+        return head(f"{kept.count()} {g.n}" + (f" {'1' * own}{int(w)}" if own or w else "")).unionAll(body)
+    if fmt == "hmetis-ep":
         pair = e.where("src < dst").select("src", "dst")
-        numbered = running(pair.withColumn("_one", F.lit(1)), "src", "_one", "_k").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst")) + F.min("_k").over(Window.partitionBy("src")))
-        nets = numbered.select(F.explode(F.array("src", "dst")).alias("id"), "k").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), " ").alias("value"))
+        nets = _nets(pair).select(F.explode(F.array("src", "dst")).alias("id"), "k").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), " ").alias("value"))
         rows = spark.range(g.n).join(nets, "id", "left").select("id", F.lit(0).cast("long"), F.coalesce("value", F.lit("")))
         return head(f"{g.n} {pair.count()}").unionAll(rows)
     if fmt in ("dot", "dot-directed"):
         way, arrow = ("digraph", "->") if fmt.endswith("directed") else ("graph", "--")
-        kept = e if fmt.endswith("directed") else e.where("src <= dst")
+        kept = e if fmt.endswith("directed") else e.where("src < dst")
         out = head(f"{way} G {{").unionAll(kept.select("src", "dst", F.format_string(f"%d{arrow}%d", F.col("src") + 1, F.col("dst") + 1)))
         if g.points is not None and "x" in g.points.columns:
             out = out.unionAll(g.points.select(F.lit(-1).cast("long"), "id", F.format_string('%d[pos="%f,%f!"]', F.col("id") + 1, F.col("x") * 10, F.col("y") * 10)))

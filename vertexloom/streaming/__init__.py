@@ -35,6 +35,30 @@ def for_each_edge(spark: SparkSession, folder: str, consume: Callable[[DataFrame
     q.awaitTermination()
 
 
-def for_each_node(spark: SparkSession, folder: str, consume: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Runs consume on (src, neighbors) of each chunk. Vertices without edges have no row; join range(n) for them."""
-    for_each_edge(spark, folder, lambda df, i: consume(df.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbors")), i), checkpoint)
+def for_each_node(spark: SparkSession, folder: str, consume: Callable[[DataFrame, int], None], checkpoint: str, n: int | None = None, chunks: int = 1) -> None:
+    """Runs consume on (src, neighbors) of each chunk. With n and the number of chunks that spool() was given, vertices without edges
+    have a row too, those of chunks without edges after the stream."""
+    seen: set[int] = set()
+
+    def vertices(chunk: int) -> DataFrame:
+        q, r = divmod(n, chunks)
+        return spark.range(chunk * q + min(chunk, r), (chunk + 1) * q + min(chunk + 1, r)).withColumnRenamed("id", "src")
+
+    def lists(df: DataFrame) -> DataFrame:
+        return df.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbors"))
+
+    def whole(own: DataFrame, chunk: int) -> DataFrame:
+        return vertices(chunk).join(own, "src", "left").select("src", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
+
+    def batch(df: DataFrame, i: int) -> None:
+        if n is None:
+            return consume(lists(df), i)
+        for (chunk,) in df.select("chunk").distinct().collect():  # a file holds one
+            seen.add(chunk)
+            consume(whole(lists(df.where(F.col("chunk") == chunk)), chunk), i)
+
+    stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if n is not None:
+        none = spark.createDataFrame([], "src long, neighbors array<bigint>")
+        for chunk in sorted(set(range(chunks)) - seen):
+            consume(whole(none, chunk), -1)

@@ -38,11 +38,14 @@ def _edge(char: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process
+    (tests). On a cluster it has to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.vertexloom.shared", None)
         if not named:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
             spark.conf.set("spark.vertexloom.shared", named)
     return named.rstrip("/")

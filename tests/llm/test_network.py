@@ -65,3 +65,12 @@ def test_toxic_passages_anywhere(model):
     words = [f"w{i}" for i in rng.integers(0, 60, 90)]
     scores = toxicity.Scorer(model).score([" ".join([*words[:k], "zq", "zqx", "zq", "zqx", *words[k:]]) for k in range(90)])
     assert min(scores) > 0.5 > toxicity.Scorer(model).score([" ".join(words)])[0]
+
+
+def test_driver_does_not_train(spark, monkeypatch):
+    """Training is a task's work; the driver gets the model."""
+    monkeypatch.setattr(toxicity, "Words", None)  # the driver could not scan a text
+    rows = [(i, " ".join(["bad" if i % 2 else "good", f"w{i % 5}"] * 9), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert model.trained and len(model.known)

@@ -6,8 +6,8 @@ is scored in all its windows of WINDOW words (a word of over PIECE characters co
 in both directions; attention weighs its states; the text's score is that of its highest window.
 
 Training: labels are those of documents; the loss of a document is that of its highest window. Rows may be a bounded
-sample (max_docs, taken by a hash of the id and in equal parts from either label as far as they go), which is kept on
-the driver; scoring covers all documents. The seed is fixed, so reruns agree.
+sample (max_docs, taken by a hash of the id and in equal parts from either label as far as they go), which one task
+holds; scoring covers all documents. The seed is fixed, so reruns agree.
 
 Defined results: null and empty texts have one window without words, whose score is the network's for no word.
 Rows with a null label or id teach nothing; of rows that repeat an id the smallest text teaches. Without rows of both labels every score is 0. Repeated rows are scored each.
@@ -16,6 +16,7 @@ An empty table gives none.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -394,8 +395,19 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # The two samples are bounded by the parameter, so they may be gathered and broadcast.
     some = [labels.where(F.col("_y") == y).dropDuplicates(["_id"]).orderBy(order).limit(max_docs // 2) for y in (0, 1)]
     chosen = some[0].unionAll(some[1])
-    rows = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_y").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
-    return train([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_y"], r["_text"] or ""))])
+    rows = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("_text"), "_y").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    # In a task of its own: the texts and the training's arrays stay out of the driver, whose memory they would hold from then on.
+    ship(documents.sparkSession)
+    made = rows.select("_id", "_y", "_text").repartition(1).mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model()
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of rows (id, label, text)."""
+    rows = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+    if rows:
+        model = train([(text, y) for _, y, text in sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +430,28 @@ def test_pipeline(spark):
         before = after
     rows = stage_rows = pipeline.STAGES[-1][1](spark, before, DIR).collect()
     assert stage_rows and sum(r["piece"] == 0 for r in rows) == before.count()
+
+
+def test_short_lists_without_links_are_left_out():
+    """Of a short list, rows that only the first may link with are no members; those that link past it are."""
+    meta = lambda n, at: (n << 32) | at
+    rows = [(1, 10, meta(20, 0)), (1, 11, meta(40, 0)), (1, 12, meta(80, 0)), (2, 20, meta(70, 0)), (2, 21, meta(80, 0)), (2, 22, meta(90, 0)), (2, 23, meta(300, 0)), (3, 30, meta(5, 0))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["shingle", "set_id", "meta"])
+    out = [r for b in ngram_join._lists(iter([batch])) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == {(20, 21), (20, 22)}
+    assert [r["a"] for r in out if r["b"] is None] == [21, 22]
+
+
+def test_parity_never_rules_out_a_link():
+    """Bits that differ, the longer set's folded to the shorter's, are no more than shingles that differ; unlike large sets differ in many."""
+    rng = np.random.default_rng(4)
+    for n in (6, 500, 512, 700, 1100, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        near = np.unique(np.concatenate([own[: len(own) * 9 // 10], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
+        other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for x, likely in ((near, True), (other, False)):
+            p, q = sorted((ngram_join._parity(own), ngram_join._parity(x)), key=len)
+            folded = q if len(p) == len(q) else q[: len(p)] ^ q[len(p) :]
+            apart = int(np.unpackbits((p ^ folded).view(np.uint8)).sum())
+            assert apart <= len(np.setxor1d(own, x))
+            assert (7 * (len(own) + len(x) - apart) >= 6 * (len(own) + len(x))) == likely

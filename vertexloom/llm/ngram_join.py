@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters; each pair is verified once.
+"""N-gram Jaccard join: rare-first prefix filtering with length, positional and parity filters; each pair is verified once.
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. Documents with equal sets form one class,
 known by a hash of the set. Shingles are ordered by frequency, then by hash: a bounded table holds the most frequent of those that
@@ -6,7 +6,7 @@ repeat within a block of documents, and all others come first. Any order gives t
 share one of the first n - ceil(3n/4) + 1 shingles of either. These prefix postings are sorted by shingle:
 
 1. each class of a list is paired with the list's smallest, if length and position allow it;
-2. the pairs pass the suffix filter, which compares how many shingles fall between fixed probes, and are verified;
+2. the pairs pass the parity filter, which compares a bit or two for each shingle in place of the sets, and are verified;
 3. long lists whose classes the links have not yet joined to one component are paired with other classes of theirs,
    drawn by hash, in some rounds of step 2;
 4. lists that are still open pair off the classes of different components, under the same filters. So no list of near
@@ -32,7 +32,9 @@ from .common import removed, small, stored
 from .components import components
 
 #: Frequent shingles at most: 9 bytes each on the driver and as broadcast, however large the corpus. Shingles of a block of counts.
-FREQUENT, BLOCK, PROBES = 1 << 20, 1 << 21, 16
+FREQUENT, BLOCK = 1 << 20, 1 << 21
+#: Bits of parity of a set at least; a larger one has one to two for each shingle.
+BITS = 512
 #: Parts of the shingles whose postings are shuffled one after the other, so that a part of all lies on disk at a time.
 PARTS = 2
 #: Classes a task remembers to have posted; a copy posted again costs time only.
@@ -42,20 +44,23 @@ UP, DOWN = 3, 4
 #: Rounds in which the open lists of over WIDE rows are paired with drawn heads before their pairs; orders to draw them by.
 ROUNDS, WIDE, HEADS = 2, 8, 8
 
-_SETS = "doc_id long, n long, set_id long, probes array<int>, shingle long, seen long"
+_SETS = "doc_id long, n long, set_id long, parity array<long>, shingle long, seen long"
 
 
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _probes(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(64 - PROBES.bit_length() + 1)).astype(np.int64), minlength=PROBES)
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each value of the shingles' last bits: whether an odd number of them has it."""
+    bits = max(BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, class and probe counts of each document, and the shingles that a block of the task's documents repeats, with their counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("probes", pa.list_(pa.int32())), ("shingle", pa.int64()), ("seen", pa.int64())])
+    """Size, class and parity of each document, and the shingles that a block of the task's documents repeats, with their counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("parity", pa.list_(pa.int64())), ("shingle", pa.int64()), ("seen", pa.int64())])
     waiting, held = [], 0
 
     def repeated() -> pa.RecordBatch:
@@ -66,18 +71,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*none, pa.array(values[again].view(np.int64)), pa.array(counts[again], pa.int64())], schema=schema)
 
     for batch in batches:
-        sizes, ids, probes = [], [], []
+        sizes, ids, parity = [], [], []
         for s in textscan.shingle_sets(batch.column(1)):
             sizes.append(len(s))
             ids.append(set_id(s))
-            probes.append(_probes(s).astype(np.int32))
+            parity.append(_parity(s))
             waiting.append(s)
             held += len(s)
             if held > BLOCK:
                 yield repeated()
                 waiting, held = [], 0
         n = batch.num_rows
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PROBES), pa.array(np.concatenate(probes) if probes else np.zeros(0, np.int32)))
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parity)]).astype(np.int32)), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), listed, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
     if waiting:
         yield repeated()
@@ -141,12 +146,19 @@ def _longs(*columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in columns], names=["shingle", "set_id", "meta"])
 
 
+def _may_link_arrays(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As _may_link, of meta."""
+    n_a, n_b = a >> 32, b >> 32
+    rest = np.minimum(n_a - (a & 0xFFFFFFFF), n_b - (b & 0xFFFFFFFF))
+    return (DOWN * np.minimum(n_a, n_b) >= UP * np.maximum(n_a, n_b)) & ((UP + DOWN) * rest >= UP * (n_a + n_b))
+
+
 _LISTED = pa.schema([("shingle", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("meta", pa.int64())])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings sorted by shingle and meta: pairs (a, b) of the first of each list with the others, and the rows of
-    lists of three and more (b is null). Only a list that crosses batches is carried: its first row, and its second
+    lists of three and more (b is null), of lists of up to WIDE those that another than the first may link with. Only a list that crosses batches is carried: its first row, and its second
     while it has no third."""
     head = last = None  # (shingle, set_id, meta) of the open list's first row and of the one not yet given out as a member
     opened = False
@@ -180,6 +192,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = wide[run] & (fresh | start)
         if was_open[0]:
             out &= new | (run > 0)
+        # Of short lists that lie whole in the batch, what may link with none but the first has met it.
+        short = (members + 1 <= WIDE) & ~was_open
+        short[-1] = False
+        out[short[run]] = False
+        at = np.flatnonzero(short[run] & wide[run] & fresh)
+        for lag in range(1, WIDE - 1):
+            x, y = at[:-lag], at[lag:]
+            may = (key[x] == key[y]) & _may_link_arrays(meta[x], meta[y])
+            out[x[may]] = out[y[may]] = True
         pairs = np.unique(np.stack([sid[lead][paired], sid[paired]], 1), axis=0) if paired.any() else np.zeros((0, 2), np.int64)
         k = int(out.sum())
         yield pa.RecordBatch.from_arrays([
@@ -213,11 +234,14 @@ def _set_rows(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, each once, those that are similar enough, as links (u, v). The suffix filter goes first: shingles
-    are uniform, so the counts between fixed probes bound how many two sets can share."""
-    a, b = (classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("probes").alias(f"p_{x}")) for x in "ab")
+    """Of pairs (a, b) of classes, each once, those that are similar enough, as links (u, v). The parity filter goes first: bits
+    that differ are shingles that only one of the sets has, at least as many."""
+    a, b = (classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "ab")
     met = pairs.join(a, "a").join(b, "b")
-    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    k = F.least(F.size("p_a"), F.size("p_b"))
+    # Sizes are within 4 to 3, so one has as many bits as the other or twice as many, which its halves fold to.
+    p_a, p_b = (F.when(F.size(p) > k, F.zip_with(F.slice(p, F.lit(1), k), F.slice(p, k + 1, k), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(p)) for p in ("p_a", "p_b"))
+    apart = F.aggregate(F.zip_with(p_a, p_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda t, x: t + x)
     may = stored(met.where((UP + DOWN) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * UP * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "pairs")
     wanted = may.select(F.col("a").alias("set_id")).unionAll(may.select(F.col("b").alias("set_id"))).distinct()
     wanted = stored(classes.join(wanted, "set_id", "left_semi").select(F.col("doc").alias("_doc"), F.col("set_id").alias("want")), "wanted")
@@ -264,8 +288,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship(spark)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(texts.mapInArrow(_sets, _SETS), "sets")
-    docs = sets.where("seen is null").select("doc_id", "n", "set_id", "probes")
-    classes = stored(docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("probes").alias("probes")), "classes")
+    docs = sets.where("seen is null").select("doc_id", "n", "set_id", "parity")
+    classes = stored(docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
     frequent = spark.sparkContext.broadcast(_frequent(sets))
     n, lists = int(spark.conf.get("spark.sql.shuffle.partitions")), None
     for part in range(PARTS):
@@ -273,6 +297,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         dealt = postings.repartition(n, "shingle").sortWithinPartitions("shingle", "meta", "set_id")
         own = stored(dealt.mapInArrow(_lists, "shingle long, a long, b long, meta long"), "lists")
         lists = own if lists is None else lists.unionAll(own)
+    frequent.destroy()  # the lists are written
     pairs = lists.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     groups = components(_verified(pairs, classes, texts))
     members = lists.where("b is null").select("shingle", F.col("a").alias("set_id"), "meta")
